@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm import clusters, leakage, near_duplicates, packing, splitting
 from gleaner.llm.neighbours import similar_vectors
 from gleaner.runtime import table
 
@@ -23,6 +24,72 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("cosine", 5).alias("cosine"), "rank")
 
 
+def _triples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates.similar_sets(table(spark, sf_dir, "chunks"), "chunk_id", "file_path", "content", threshold=0.5, shingle=3, least=20)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of different files that share at least half of their word triples."""
+    found = near_duplicates.pairs(*_triples(spark, sf_dir))
+    return found.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of 20 words or more with its group of near-duplicates and its number of links."""
+    found = near_duplicates.groups(*_triples(spark, sf_dir))
+    return found.select(F.col("id").alias("chunk_id"), F.col("grp").alias("file_path"), "group_id", "links")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.materialize(clusters.group_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "file_path", "embedding"), "files")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in clusters of at least five, linked by cosine 0.6 or more, with the cluster's smallest path."""
+    found = clusters.link_clusters(_files(spark, sf_dir), min_cosine=0.6, least=5)
+    return found.select(F.col("id").alias("path"), F.col("cluster").alias("cluster_path"))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster's size and its five most typical files."""
+    files = _files(spark, sf_dir)
+    found = clusters.link_clusters(files, min_cosine=0.6, least=5)
+    return clusters.describe(files, found).select(F.col("cluster").alias("cluster_path"), "size", "typical")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of more than 4,096 bytes, and whether some stretch of them has no natural boundary."""
+    cut = splitting.split_oversized(table(spark, sf_dir, "chunks"), with_content=False)
+    return cut.where("piece = 0").select(F.col("id").alias("chunk_id"), "forced")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized chunk with byte ranges within its content."""
+    cut = splitting.split_oversized(table(spark, sf_dir, "chunks"))
+    return cut.select(F.col("id").alias("chunk_id"), F.col("piece").alias("chunk_index"), "start_byte", "end_byte", "fresh_byte", "natural", "content")
+
+
+def p5_reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks, oversized ones replaced by their pieces, with a running index per file."""
+    chunks = table(spark, sf_dir, "chunks")
+    return splitting.reindex(chunks, splitting.split_oversized(chunks, with_content=False))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in containers of 2,048 tokens."""
+    return packing.fill_containers(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least 12 consecutive words of a held-out item."""
+    return p7_coverage(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with their tiles and the share of the item that they cover."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
