@@ -37,10 +37,12 @@ SKETCH_BITS = 256
 TILE = 1024
 #: A band value is split if a sample of one class in SAMPLE suggests more than HOT classes.
 SAMPLE, HOT = 32, 4096
+#: Bytes of each shingle's hash that are kept for verification.
+KEPT = 5
 #: Groups of copies whose pairs number at most this are written out pair by pair.
 EXPAND = 4096
 #: Candidate ids are broadcast up to this many; beyond it they are shuffled.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 _BIN = "binary"
 
@@ -58,6 +60,15 @@ def _unfixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), width)
 
 
+def _sorted_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all rows one after the other, and where each row's begin."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.empty(0, np.uint8)
+    wide = np.zeros((len(data) // KEPT, 8), np.uint8)
+    wide[:, :KEPT] = data.reshape(-1, KEPT)
+    return wide.view(np.uint64).reshape(-1), (offsets - offsets[0]) // KEPT
+
+
 def _sets(texts: list[str], shingle: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``doc``, first position of each doc's shingles and the sorted distinct shingle hashes; only texts of ``least`` words."""
     w = Words(texts, ALNUM_)
@@ -277,19 +288,19 @@ def similar_sets(
                 doc, first, h = _sets(t[lo:hi], shingle, least)
                 if len(first):
                     take = pa.array(doc[first] + lo)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), lists], ["k1", "k2", "s"])
+                    packed = np.ascontiguousarray((h >> np.uint64(64 - 8 * KEPT)).view(np.uint8).reshape(-1, 8)[:, :KEPT])
+                    offsets = (np.append(first, len(h)) * KEPT).astype(np.int32)
+                    sets = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+                    yield pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), sets], ["k1", "k2", "s"])
 
-    sets = texts.select("k1", "k2", "_t").mapInArrow(shingled, "k1 long, k2 long, s array<long>").dropDuplicates(["k1", "k2"])
+    sets = texts.select("k1", "k2", "_t").mapInArrow(shingled, f"k1 long, k2 long, s {_BIN}").dropDuplicates(["k1", "k2"])
     sets = materialize(sets, "nd-sets")
     left = sets.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("s").alias("sa"))
     right = sets.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("s").alias("sb"))
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sa, sb = b.column("sa"), b.column("sb")
-            va, vb = sa.flatten().to_numpy(), sb.flatten().to_numpy()
-            oa, ob = (np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())]) for s in (sa, sb))
+            (va, oa), (vb, ob) = (_sorted_sets(b.column(c)) for c in ("sa", "sb"))
             j = np.empty(b.num_rows)
             for i in range(b.num_rows):
                 x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
@@ -299,7 +310,7 @@ def similar_sets(
 
     checked = near.join(left, "a").join(right, "b").select("a", "a2", "b", "b2", "sa", "sb")
     links = checked.mapInArrow(jaccard, "a1 long, a2 long, b1 long, b2 long, jaccard double").where(F.col("jaccard") >= threshold)
-    return members, links
+    return members, materialize(links, "nd-links")
 
 
 def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -353,7 +364,6 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     key = lambda a, b: F.concat_ws(":", F.col(a), F.col(b))
     members = members.withColumn("c", key("k1", "k2"))
     edges = links.select(key("a1", "a2").alias("a"), key("b1", "b2").alias("b"))
-    edges = materialize(edges, "nd-links")
     comp = connected_components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
     named = members.join(comp.withColumnRenamed("vertex", "c"), "c", "left").join(degree, "c", "left")
