@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import clusters, leakage, near_duplicates, packing, splitting
+from gleaner.llm import clusters, handwritten, leakage, near_duplicates, packing, splitting
 from gleaner.llm.neighbours import similar_vectors
 from gleaner.runtime import table
 
@@ -40,6 +40,16 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("chunk_id"), F.col("grp").alias("file_path"), "group_id", "links")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that are generated, minified, vendored or data."""
+    return p3_scores(spark, sf_dir).where("found").select("path")
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source file with its own notice, the forest's vote and the decision."""
+    return handwritten.find_foreign_files(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "files"))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.materialize(clusters.group_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "file_path", "embedding"), "files")
 
