@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import clusters, handwritten, leakage, near_duplicates, packing, splitting
+from gleaner.llm import clusters, handwritten, leakage, near_duplicates, packing, reading_level, splitting
 from gleaner.llm.neighbours import similar_vectors
 from gleaner.runtime import table
 
@@ -100,6 +100,21 @@ def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document of English prose."""
+    return p8_difficulty(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p8_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the continuous difficulty."""
+    return reading_level.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy on held-out grades."""
+    return reading_level.held_out_accuracy(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
