@@ -42,7 +42,8 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, index: DataFrame
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         return scored.groupBy("id").agg(F.sum(part).alias("bm25"))
     rows = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
-    counts = [F.size(F.filter("t", lambda x, term=term: x == term)).alias(f"tf{i}") for i, term in enumerate(terms)]
+    times = lambda term: F.size(F.filter("t", lambda x: x == F.lit(term)))
+    counts = [times(term).alias(f"tf{i}") for i, term in enumerate(terms)]
     rows = rows.select("id", F.size("t").alias("dl"), *counts)
     stats = [F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))]
     total = rows.agg(*stats)
