@@ -11,7 +11,7 @@ def text(rng, level):
     return ". ".join(" ".join(pick() for _ in range(10)) for _ in range(rng.randint(15, 30)))
 
 
-def make(spark, extra=(), labelled=0.3):
+def make(spark, extra=(), labelled=0.6):
     rng = random.Random(9)
     docs, labels, truth = [], [], {}
     for i in range(300):
