@@ -49,7 +49,9 @@ def break_point(text: Column, start: Column, end: Column, total: Column) -> Colu
     wide, narrow = F.substring(text, lo + 1, hi - lo + 1), F.substring(text, lo + 1, hi - lo)
     blank = F.locate("\n\n", F.reverse(wide))
     line = F.locate("\n", F.reverse(narrow))
-    stop = F.regexp_instr(F.reverse(wide), F.lit(r"\s[.!?]"))
+    # regexp_instr would count surrogate pairs twice
+    back = F.reverse(wide)
+    stop = F.when(back.rlike(r"\s[.!?]"), F.char_length(F.regexp_extract(back, r"(?s)^(.*?)\s[.!?]", 1)) + 1).otherwise(0)
     found = (
         F.when(blank > 0, lo + F.char_length(wide) - blank + 1)
         .when(line > 0, lo + F.char_length(narrow) - line + 1)
