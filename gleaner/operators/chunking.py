@@ -1,4 +1,8 @@
-"""Chunking: fixed windows as a Catalyst expression; headings and code as Arrow batches.
+"""Chunking: fixed windows, headings and code, as functions on one text and as Arrow batches.
+
+Every strategy looks back from a window's end or keeps running state, which as a Catalyst
+expression means interpreted lambdas that copy the text many times over (measured: some
+twenty times slower than one pass over Arrow batches), so all run there. No shuffle.
 
 Sizes are given in tokens and one token counts as four units: code points for fixed windows,
 UTF-8 bytes for the other two. All positions are half-open and lines count from 0.
@@ -11,10 +15,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import CODE_LANGUAGES
+from gleaner.runtime import spread
 
 UNITS = 4
 CHUNK = "chunk_index int, start_byte long, end_byte long, start_line int, end_line int, depth short, symbol_type string, symbol_name string, content string"
@@ -36,94 +41,54 @@ class ChunkConfig:
 # ---------------------------------------------------------------- fixed windows
 
 
-def break_point(text: Column, start: Column, end: Column, total: Column) -> Column:
+_STOP = re.compile(r"[.!?](?=\s)")
+
+
+def break_point(text: str, start: int, end: int) -> int:
     """Where a window of code points that would end at ``end`` should end instead.
 
     Looked for backwards from a tenth of the window after ``end`` to a fifth before it: the
     position after a blank line, else after a line feed, else after a sentence mark that white
     space follows; else ``end`` itself. The end of the text stays.
     """
-    length = end - start
-    lo = end - F.floor(length / 5).cast("int")
-    hi = F.least(end + F.floor(length / 10).cast("int"), total)
-    wide, narrow = F.substring(text, lo + 1, hi - lo + 1), F.substring(text, lo + 1, hi - lo)
-    blank = F.locate("\n\n", F.reverse(wide))
-    line = F.locate("\n", F.reverse(narrow))
-    # regexp_instr would count surrogate pairs twice
-    back = F.reverse(wide)
-    stop = F.when(back.rlike(r"\s[.!?]"), F.char_length(F.regexp_extract(back, r"(?s)^(.*?)\s[.!?]", 1)) + 1).otherwise(0)
-    found = (
-        F.when(blank > 0, lo + F.char_length(wide) - blank + 1)
-        .when(line > 0, lo + F.char_length(narrow) - line + 1)
-        .when(stop > 0, lo + F.char_length(wide) - stop)
-        .otherwise(end)
-    )
-    return F.when(end >= total, total).otherwise(found)
-
-
-def fixed_spans(text: Column, config: ChunkConfig) -> Column:
-    """``array<struct<s, e>>`` of window spans in code points; an empty or null text has none.
-
-    Windows start at multiples of ``target - overlap`` whatever the break point of the one
-    before, and the first that reaches the end of the text is the last.
-    """
-    width, step = UNITS * config.target, max(1, UNITS * (config.target - config.overlap))
-    total = F.char_length(text)
-    starts = F.sequence(F.lit(0), total - 1, F.lit(step))
-    spans = F.transform(starts, lambda s: F.struct(s.alias("s"), break_point(text, s, F.least(s + width, total), total).alias("e")))
-    last = F.array_position(F.transform(spans, lambda x: x["e"] >= total), F.lit(True))
-    return F.when(total > 0, F.slice(spans, F.lit(1), last.cast("int")))
+    if end >= len(text):
+        return len(text)
+    lo, hi = end - (end - start) // 5, min(end + (end - start) // 10, len(text))
+    for mark, until in (("\n\n", hi + 1), ("\n", hi)):
+        at = text.rfind(mark, lo, until)
+        if at >= 0:
+            return at + len(mark)
+    stops = [m.end() for m in _STOP.finditer(text[lo : hi + 1])]
+    return lo + stops[-1] if stops else end
 
 
-def fixed_chunks(df: DataFrame, text_col: str = "text", config: ChunkConfig | None = None) -> DataFrame:
-    """The columns of ``df`` without the text, and one row per window with its byte and line range.
+def fixed_spans(text: str, config: ChunkConfig, gapless: bool = False) -> list[tuple[int, int]]:
+    """Spans of windows in code points; an empty text has none.
 
-    Stays in the JVM. Null and empty texts give no chunk. Clashing column names of ``df`` are
-    replaced by the chunk's.
+    Windows start at multiples of ``target - overlap`` whatever the break point of the one
+    before (or, ``gapless``, no later than where that ends), and the first that reaches the
+    end of the text is the last.
     """
-    config = config or ChunkConfig()
-    fresh = {c.split()[0] for c in CHUNK.split(", ")}
-    keep = [c for c in df.columns if c not in fresh and c != text_col]
-    t = F.col("_t")
-    out = df.select(*keep, F.col(text_col).alias("_t")).select(*keep, "_t", F.posexplode(fixed_spans(t, config)).alias("chunk_index", "_x"))
-    s, e = F.col("_x.s"), F.col("_x.e")
-    head, body = F.substring(t, F.lit(1), s), F.substring(t, s + 1, e - s)
-    feeds = lambda x: F.char_length(x) - F.char_length(F.translate(x, "\n", ""))
-    out = out.withColumn("content", body).withColumn("start_byte", F.octet_length(head).cast("long")).withColumn("start_line", feeds(head).cast("int"))
-    return out.select(
-        *keep,
-        F.col("chunk_index").cast("int").alias("chunk_index"),
-        "start_byte",
-        (F.col("start_byte") + F.octet_length("content")).alias("end_byte"),
-        "start_line",
-        (F.col("start_line") + feeds(F.col("content"))).cast("int").alias("end_line"),
-        F.lit(0).cast("short").alias("depth"),
-        F.lit(None).cast("string").alias("symbol_type"),
-        F.lit(None).cast("string").alias("symbol_name"),
-        "content",
-    )
-
-
-def fixed_gapless(text: str, config: ChunkConfig) -> list[dict]:
-    """Fixed windows in which the next one starts no later than the one before ends."""
     width, step = UNITS * config.target, max(1, UNITS * (config.target - config.overlap))
-    out, start, total = [], 0, len(text)
-    while start < total:
-        end = min(start + width, total)
-        if end < total:
-            length = end - start
-            lo, hi = end - length // 5, min(end + length // 10, total)
-            marks = [m.end() for m in re.finditer(r"\n\n", text[lo : hi + 1])] or [m.end() for m in re.finditer(r"\n", text[lo:hi])]
-            marks = marks or [m.end() for m in re.finditer(r"[.!?](?=\s)", text[lo : hi + 1])]
-            end = lo + marks[-1] if marks else end
+    out, start = [], 0
+    while start < len(text):
+        end = break_point(text, start, min(start + width, len(text)))
         out.append((start, end))
-        if end >= total:
+        if end >= len(text):
             break
-        start = max(start + 1, min(start + step, end))
-    rows = []
-    for s, e in out:
-        b, line = len(text[:s].encode()), text.count("\n", 0, s)
-        rows.append(_row(text[s:e], b, b + len(text[s:e].encode()), line, line + text.count("\n", s, e)))
+        start = max(start + 1, min(start + step, end)) if gapless else start + step
+    return out
+
+
+def fixed_windows(text: str, config: ChunkConfig | None = None, gapless: bool = False) -> list[dict]:
+    """Fixed windows with their byte and line ranges; positions are counted on from window to window."""
+    rows, at, byte, line = [], 0, 0, 0
+    ascii_only = text.isascii()
+    for s, e in fixed_spans(text, config or ChunkConfig(), gapless):
+        byte += s - at if ascii_only else len(text[at:s].encode("utf-8", "surrogatepass"))
+        line += text.count("\n", at, s)
+        at, content = s, text[s:e]
+        rows.append(_row(content, byte, byte + (len(content) if ascii_only else _utf8(content)), line, line + content.count("\n")))
     return rows
 
 
@@ -420,15 +385,13 @@ def chunk_documents(df: DataFrame, text_col: str = "text", type_col: str = "cont
         raise ValueError(f"unknown strategy {strategy}")
     config = config or ChunkConfig()
     fresh = {c.split()[0] for c in CHUNK.split(", ")}
-    if strategy == "fixed" and not gapless:
-        return fixed_chunks(df, text_col, config)
     keep = [c for c in df.columns if c not in fresh and c != text_col]
     kind = F.coalesce(F.col(type_col), F.lit("text")) if type_col in df.columns else F.lit("text")
-    rows = df.select(*keep, kind.alias("_kind"), F.col(text_col).alias("_t")).where(F.char_length("_t") > 0)
+    rows = spread(df.select(*keep, kind.alias("_kind"), F.col(text_col).alias("_t")).where(F.col("_t") != ""))
 
     def one(text: str, tag: str) -> list[dict]:
         if strategy == "fixed":
-            return fixed_gapless(text, config)
+            return fixed_windows(text, config, gapless)
         if strategy == "semantic":
             return semantic_chunks(text, config)
         if strategy == "code" or tag.startswith("code:"):
@@ -436,7 +399,7 @@ def chunk_documents(df: DataFrame, text_col: str = "text", type_col: str = "cont
             return code_chunks(text, CODE_LANGUAGES.get(name, name), config)
         if tag in ("text", "markdown"):
             return semantic_chunks(text, config)
-        return fixed_gapless(text, config) if gapless else semantic_chunks(text, config)
+        return fixed_windows(text, config, gapless)
 
     names = [c.split()[0] for c in CHUNK.split(", ")]
 
@@ -451,13 +414,14 @@ def chunk_documents(df: DataFrame, text_col: str = "text", type_col: str = "cont
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
     schema = f"{head}, {CHUNK}" if head else CHUNK
-    if strategy == "auto" and not gapless:
-        routed = rows.where(F.col("_kind").isin("text", "markdown") | F.col("_kind").startswith("code:"))
-        rest = rows.where(~(F.col("_kind").isin("text", "markdown") | F.col("_kind").startswith("code:")))
-        return routed.mapInPandas(run, schema).unionByName(fixed_chunks(rest.drop("_kind"), "_t", config))
     return rows.mapInPandas(run, schema)
 
 
+def fixed_chunks(df: DataFrame, text_col: str = "text", config: ChunkConfig | None = None, gapless: bool = False) -> DataFrame:
+    """The columns of ``df`` without the text, and one row per window; see :func:`chunk_documents`."""
+    return chunk_documents(df, text_col, config=config, strategy="fixed", gapless=gapless)
+
+
 def split_documents(df: DataFrame, text_col: str = "page_content", metadata_col: str = "metadata", config: ChunkConfig | None = None, strategy: str = "auto") -> DataFrame:
     """Documents ``(page_content, metadata map)`` as one document per chunk.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.runtime import spread
+
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -41,8 +43,8 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, index: DataFrame
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         return scored.groupBy("id").agg(F.sum(part).alias("bm25"))
-    rows = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
-    times = lambda term: F.size(F.filter("t", lambda x: x == F.lit(term)))
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("x"))).select("id", tokens(F.col("x")).alias("t")).where(F.size("t") > 0)
+    times = lambda term: F.size("t") - F.size(F.array_remove("t", term))
     counts = [times(term).alias(f"tf{i}") for i, term in enumerate(terms)]
     rows = rows.select("id", F.size("t").alias("dl"), *counts)
     stats = [F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))]

@@ -44,6 +44,16 @@ def materialize(df: DataFrame, name: str, partitions: int | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan with simple projections, in at least as many partitions as there are cores.
+
+    A single small file would otherwise keep costly per-row work on one core; an input that
+    has enough splits of its own is left as it is, so nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Remove the files behind a table that :func:`materialize` returned."""
     jvm = df.sparkSession._jvm

@@ -47,13 +47,13 @@ def test_gap_and_gapless():
     cfg = C.ChunkConfig()
     spans = model(text, cfg)
     assert spans[0] == (0, 1640) and spans[1][0] == 1792
-    rows = C.fixed_gapless(text, cfg)
+    rows = C.fixed_windows(text, cfg, True)
     assert rows[0]["end_byte"] == 1640 and rows[1]["start_byte"] == 1640
     rng = random.Random(2)
     for _ in range(50):
         t = "".join(rng.choice(["a", "ä\n", "b. ", "\n\n"]) for _ in range(rng.randint(1, 400)))
         data, reach = t.encode(), 0
-        for r in C.fixed_gapless(t, C.ChunkConfig(20, 40, 4)):
+        for r in C.fixed_windows(t, C.ChunkConfig(20, 40, 4), True):
             assert r["start_byte"] <= reach and data[r["start_byte"] : r["end_byte"]].decode() == r["content"]
             reach = r["end_byte"]
         assert reach == len(data)
