@@ -34,7 +34,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.runtime import materialize
+from gleaner.runtime import materialize, spread
 
 #: What a comment line says, from its first word, if a tool made the file.
 GENERATED = re.compile(
@@ -138,7 +138,7 @@ def file_features(chunks: DataFrame) -> DataFrame:
 
     rows = chunks.where(F.col("content_type").startswith("code:") & F.col("file_path").isNotNull() & F.col("content").isNotNull())
     rows = rows.select(F.col("file_path").cast("string").alias("path"), F.coalesce(F.col("chunk_id").cast("string"), F.sha2("content", 256)).alias("id"), "content")
-    each = rows.mapInArrow(run, "path string, id string, " + ", ".join(f"{s} double" for s in SUMS) + ", longest double, notice string")
+    each = spread(rows).mapInArrow(run, "path string, id string, " + ", ".join(f"{s} double" for s in SUMS) + ", longest double, notice string")
     each = each.groupBy("path", "id").agg(*(F.max(s).alias(s) for s in [*SUMS, "longest", "notice"]))
     files = each.groupBy("path").agg(
         *(F.sum(s).alias(s) for s in SUMS), F.max("longest").alias("longest"),

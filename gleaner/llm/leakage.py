@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.words import ALNUM, Words, pieces
+from gleaner.runtime import spread
 
 #: Test texts of at most this many bytes together are sent to every task.
 MAX_ITEM_BYTES = 32 << 20
@@ -187,7 +188,7 @@ def leaked_items(
         held = _Items([r.item_id for r in rows], [r.item for r in rows], run)
         if not len(held.hash):
             return docs.sparkSession.createDataFrame([], RESULT)
-        found = d.mapInArrow(_scan(held, run), RESULT)
+        found = spread(d).mapInArrow(_scan(held, run), RESULT)
     else:
         a = d.mapInArrow(_winnow(run), "id long, h long")
         b = i.mapInArrow(_winnow(run), "id long, h long")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.words import ALNUM_, Words, mix, pieces
 from gleaner.operators.graph import connected_components
-from gleaner.runtime import materialize
+from gleaner.runtime import materialize, spread
 
 SKETCH_BITS = 256
 TILE = 1024
@@ -119,7 +119,7 @@ def signatures(df: DataFrame, id_col: str, group_col: str, text_col: str, shingl
 
     cols = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(text_col).cast("string").alias("t"))
     cols = cols.where(F.col("id").isNotNull() & F.col("t").isNotNull())
-    return cols.mapInArrow(run, f"id string, grp string, k1 long, k2 long, size int, sketch {_BIN}, bands {_BIN}")
+    return spread(cols).mapInArrow(run, f"id string, grp string, k1 long, k2 long, size int, sketch {_BIN}, bands {_BIN}")
 
 
 def _explode_bands(bands: int):

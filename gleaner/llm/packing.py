@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY, MAX_SEGMENTS = 2048, 128
 #: Splits text into words, numbers, signs and white space before byte pairs are merged (fixed value of the vocabulary).
@@ -64,7 +66,7 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str, vocabulary: str) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(loss)], ["id", "tokens", "loss"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.where("id is not null and text is not null").mapInArrow(run, "id long, tokens long, loss long")
+    return spread(rows.where("id is not null and text is not null")).mapInArrow(run, "id long, tokens long, loss long")
 
 
 def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -129,7 +131,9 @@ def fill_containers(
     max_loss = capacity if max_loss is None else max_loss
     if capacity < 1 or max_segments < 1 or max_loss < capacity:
         raise ValueError("capacity and max_segments must be positive and max_loss at least capacity")
-    sized = token_sizes(df, id_col, text_col, vocabulary).groupBy("id").agg(F.max(F.struct("tokens", "loss")).alias("s"))
+    # sizes are small however costly they are to pack: keep them on all cores
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    sized = token_sizes(df, id_col, text_col, vocabulary).repartition(cores, "id").groupBy("id").agg(F.max(F.struct("tokens", "loss")).alias("s"))
     limits = np.array([capacity, max_segments, max_loss])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

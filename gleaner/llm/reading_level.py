@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.words import Words, alphabet, pieces
-from gleaner.runtime import materialize
+from gleaner.runtime import materialize, spread
 
 BUCKETS = 1 << 18
 #: A text of fewer words of prose is a stub.
@@ -78,7 +78,7 @@ def bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
     english = F.col(lang_col).isNull() | F.lower(F.trim(F.col(lang_col))).rlike("^en([-_].*)?$")
     rows = docs.where(english & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, words binary")
+    return spread(rows).mapInArrow(run, "id long, words binary")
 
 
 def _edges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ COMMON = ["the", "a", "of", "and", "in", "to"]
 
 
 def text(rng, level):
-    pick = lambda: rng.choice(COMMON) if rng.random() < 0.5 else rng.choice(LEVEL_WORDS[level - 1] if rng.random() < 0.8 else rng.choice(LEVEL_WORDS))
+    pick = lambda: rng.choice(COMMON) if rng.random() < 0.5 else rng.choice(LEVEL_WORDS[level - 1] if rng.random() < 0.9 else rng.choice(LEVEL_WORDS))
     return ". ".join(" ".join(pick() for _ in range(10)) for _ in range(rng.randint(15, 30)))
 
 
