@@ -119,5 +119,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
+_CHUNKS = "c AS (SELECT DISTINCT ON (chunk_id) chunk_id, file_path, content, embedding FROM chunks ORDER BY chunk_id)"
+_UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
+
+ORACLES = {
+    "p1_found": f"""WITH {_CHUNKS}, v AS (SELECT chunk_id, file_path, embedding::DOUBLE[] AS v FROM c WHERE list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+        s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM v a JOIN v b ON a.file_path <> b.file_path),
+        k AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE s >= 0.96)
+        SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM k WHERE r <= 5""",
+    "p2_found": f"""WITH {_CHUNKS}, w AS (SELECT chunk_id, file_path, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM c),
+        t AS (SELECT chunk_id, file_path, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS t FROM w WHERE len(w) >= 20),
+        u AS (SELECT chunk_id, file_path, len(t) AS n, unnest(t) AS x FROM t),
+        p AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS common, any_value(a.n + b.n) AS total FROM u a JOIN u b ON a.x = b.x AND a.chunk_id < b.chunk_id AND a.file_path <> b.file_path GROUP BY 1, 2)
+        SELECT chunk_a, chunk_b FROM p WHERE common::DOUBLE / (total - common) >= 0.5""",
+    "p4_found": f"""WITH RECURSIVE {_CHUNKS}, u AS (SELECT file_path AS path, unnest({_UNIT}) AS x, generate_subscripts(embedding, 1) AS i FROM c WHERE list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+        m AS (SELECT path, i, avg(x) AS x FROM u GROUP BY path, i), f AS (SELECT path, list(x ORDER BY i) AS v FROM m GROUP BY path),
+        e AS (SELECT a.path AS a, b.path AS b FROM f a JOIN f b ON a.path <> b.path WHERE list_cosine_similarity(a.v, b.v) >= 0.6),
+        reach AS (SELECT path, path AS root FROM f UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.path),
+        g AS (SELECT path, min(root) AS cluster_path FROM reach GROUP BY path)
+        SELECT path, cluster_path FROM g WHERE cluster_path IN (SELECT cluster_path FROM g GROUP BY 1 HAVING count(*) >= 5)""",
+    "p5_found": f"""WITH {_CHUNKS}, b AS (SELECT chunk_id, replace(regexp_replace(content, '([.!?])([ \\t\\r\\n])', '\\1' || chr(1) || '\\2', 'g'), chr(10), chr(10) || chr(1)) AS t FROM c WHERE strlen(content) > 4096)
+        SELECT chunk_id, (list_max(list_transform(string_split(t, chr(1)), lambda x: strlen(x))) > 4096)::INT AS forced FROM b""",
+    "p7_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+        dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+        ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
