@@ -22,6 +22,8 @@ from gleaner.functions.paths import CODE_LANGUAGES
 from gleaner.runtime import spread
 
 UNITS = 4
+#: Index values of one document that are ordered in one task.
+SPAN = 8192
 CHUNK = "chunk_index int, start_byte long, end_byte long, start_line int, end_line int, depth short, symbol_type string, symbol_name string, content string"
 
 
@@ -438,9 +440,21 @@ def split_documents(df: DataFrame, text_col: str = "page_content", metadata_col:
 
 
 def linked(chunks: DataFrame, key: str = "file_path", order: str = "chunk_index", id_col: str = "chunk_id") -> DataFrame:
-    """Chunks with the ids of the one before and after in their document."""
-    w = Window.partitionBy(key).orderBy(order, id_col)
-    return chunks.withColumn("previous_id", F.lag(id_col).over(w)).withColumn("next_id", F.lead(id_col).over(w))
+    """Chunks with the ids of the one before and after in their document.
+
+    Documents are cut into spans of ``SPAN`` index values that are ordered on their own, and
+    the ends of neighbouring spans are joined on, so a document of any length takes many tasks.
+    A null index comes first.
+    """
+    rows = chunks.withColumn("_span", F.coalesce(F.floor(F.col(order) / SPAN), F.lit(-(1 << 62))))
+    within = Window.partitionBy(key, "_span").orderBy(order, id_col)
+    rows = rows.withColumn("_b", F.lag(id_col).over(within)).withColumn("_a", F.lead(id_col).over(within))
+    here = F.struct(order, id_col)
+    spans = rows.groupBy(key, "_span").agg(F.min(here).alias("lo"), F.max(here).alias("hi"))
+    across = Window.partitionBy(key).orderBy("_span")
+    spans = spans.select(F.col(key).alias("_k"), F.col("_span").alias("_s"), F.lag(f"hi.{id_col}").over(across).alias("_p"), F.lead(f"lo.{id_col}").over(across).alias("_n"))
+    out = rows.join(spans, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_span") == F.col("_s")))
+    return out.withColumn("previous_id", F.coalesce("_b", "_p")).withColumn("next_id", F.coalesce("_a", "_n")).drop("_span", "_b", "_a", "_k", "_s", "_p", "_n")
 
 
 def assemble(chunks: DataFrame, path: str, file_id: str, content_hash: str, content_type: str, model: str | None = None) -> DataFrame:

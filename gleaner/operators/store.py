@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from gleaner import schema
 
 KEYS = {"chunks": "file_path", "files": "path"}
+#: Tasks that share the rows of one bucket when it is written.
+WRITERS = 8
 LAYOUT = {"chunks": schema.CHUNKS, "files": schema.FILES}
 
 
@@ -90,7 +92,9 @@ class TableStore:
         kinds = dict(c.split() for c in LAYOUT[name].split(", "))
         have = {c for c in rows.columns}
         rows = rows.select(*((F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in cols))
-        rows.withColumn("_bucket", self._bucket(F.col(KEYS[name]))).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+        rows = rows.withColumn("_bucket", self._bucket(F.col(KEYS[name])))
+        ident = {"chunks": "chunk_id", "files": "path"}[name]  # one path may hold a third of all chunks: several tasks a bucket
+        rows.repartition(F.col("_bucket"), F.pmod(F.xxhash64(ident), F.lit(WRITERS))).write.partitionBy("_bucket").parquet(folder)
         for b in touched:
             manifest[name].pop(str(b), None)
         for status in self._fs.listStatus(self._path(folder)):
@@ -172,6 +176,18 @@ class TableStore:
         return n
 
 
+def list_indexes(spark: SparkSession, home: str) -> DataFrame:
+    """``(name, bytes, modified_at)`` of the stores that lie directly below a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(home).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for s in fs.listStatus(path(home)) if fs.exists(path(home)) else []:
+        current = path(f"{home.rstrip('/')}/{s.getPath().getName()}/CURRENT")
+        if s.isDirectory() and fs.exists(current):
+            rows.append((s.getPath().getName(), fs.getContentSummary(s.getPath()).getLength(), fs.getFileStatus(current).getModificationTime() / 1000))
+    return spark.createDataFrame(rows, "name string, bytes long, t double").select("name", "bytes", F.timestamp_seconds("t").alias("modified_at"))
+
+
 # ---------------------------------------------------------------- the same changes on any two DataFrames
 
 

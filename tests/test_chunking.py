@@ -130,3 +130,11 @@ def test_routing_and_splitting(spark):
     out = C.split_documents(docs, strategy="fixed").collect()
     assert all(set(r.metadata) >= {"chunk_index", "start_byte", "end_byte", "start_line", "end_line"} for r in out) and {r.metadata.get("source") for r in out} == {"s", None}
     assert C.chunk_documents(df.limit(0)).count() == 0
+
+
+def test_linked_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(C, "SPAN", 3)
+    rows = [(f"c{i:02d}", "d", i * (1 + i // 7)) for i in range(20)] + [("x", "e", 0), ("y", None, 1), ("z", None, None)]
+    got = {r.chunk_id: (r.previous_id, r.next_id) for r in C.linked(spark.createDataFrame(rows, "chunk_id string, file_path string, chunk_index int")).collect()}
+    want = {f"c{i:02d}": (f"c{i - 1:02d}" if i else None, f"c{i + 1:02d}" if i < 19 else None) for i in range(20)} | {"x": (None, None), "z": (None, "y"), "y": ("z", None)}
+    assert got == want

@@ -44,6 +44,8 @@ def test_chunks(spark, store):
     assert (s.chunks, s.files) == (1, 0) and s.bytes > 0
     assert store.vacuum() > 0 and store.read("chunks").count() == 1
     assert TableStore(spark, store.root).buckets == 4
+    (r,) = K.list_indexes(spark, store.root.rsplit("/", 1)[0]).collect()
+    assert r.name == "s" and r.bytes > 0 and r.modified_at is not None
 
 
 def test_a_reader_keeps_its_state(spark, store):
