@@ -18,13 +18,13 @@ DEFAULT_EXCLUDES = ["**/.git/**", "**/node_modules/**", "**/target/**", "**/__py
 EXTRACTED = f"path string, text string, elements array<{schema.ELEMENT}>, images array<struct<data:binary,mime_type:string,caption:string,page:int>>, title string, author string, language string, page_count int, error_message string"
 
 
-def scan(spark: SparkSession, root: str, includes: list[str] | None = None, excludes: list[str] | None = None, max_size: int | None = None, content: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str, includes: list[str] | None = None, excludes: list[str] | None = None, max_size: int | None = None, content: bool = False, only: str | list[str] | None = None) -> DataFrame:
     """Regular files below a folder: ``(path, name, size_bytes, modified_at, mime_type[, content])``.
 
     Globs match the path below the root. Unreadable folders are skipped. Without ``content``
-    no file is opened.
+    no file is opened; ``only`` lists files below the root instead of all.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(only or root)
     path = F.regexp_replace("path", r"^file:/*", "/")
     df = df.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), *(["content"] if content else []))
     base = root.removeprefix("file://").rstrip("/")

@@ -20,17 +20,20 @@ def append_history(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").json(path)
 
 
+def write_plan(actions: DataFrame, folder: str, plan_id: str, description: str) -> None:
+    """Keep a plan for review: its actions as JSON lines below ``folder/plan_id``, however many there are."""
+    rows = actions.select(F.lit(plan_id).alias("plan_id"), F.current_timestamp().alias("created_at"), F.lit(description).alias("description"), *(c.split()[0] for c in ACTION.split(", ")))
+    rows.write.mode("errorifexists").json(f"{folder.rstrip('/')}/{plan_id}")
+
+
 def read_plans(spark: SparkSession, folder: str) -> DataFrame:
-    """All plan documents of a folder; files that are no plan are skipped."""
-    fields = ",".join(f"{a}:{b}" for a, b in (x.split() for x in ACTION.split(", ")))
-    layout = f"plan_id string, created_at timestamp, description string, actions array<struct<{fields}>>"
-    return spark.read.schema(layout).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(folder).where(F.col("plan_id").isNotNull())
-
-
-def plan_document(actions: DataFrame, plan_id: str, description: str) -> DataFrame:
-    """One row: a plan with its actions in order, ready to be written as JSON."""
-    ordered = F.sort_array(F.collect_list(F.struct("action", "target", "source", "confidence", "reason")), False)
-    return actions.agg(ordered.alias("a")).select(
-        F.lit(plan_id).alias("plan_id"), F.current_timestamp().alias("created_at"), F.lit(description).alias("description"),
-        F.transform("a", lambda x: F.struct(x["action"].alias("action"), x["source"].alias("source"), x["target"].alias("target"), x["confidence"].alias("confidence"), x["reason"].alias("reason"))).alias("actions"),
-    )
+    """The actions of all plans of a folder; lines that are no such action are skipped."""
+    layout = f"plan_id string, created_at timestamp, description string, {ACTION}"
+    df = spark.read.schema(layout).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(folder)
+    return df.where(F.col("plan_id").isNotNull() & F.col("action").isNotNull())
+
+
+def summarize_plans(plans: DataFrame) -> DataFrame:
+    """Per plan: when it was made, what it is, and how many actions of each kind."""
+    n = lambda kind: F.sum((F.col("action") == kind).cast("long")).alias(kind)
+    return plans.groupBy("plan_id").agg(F.max("created_at").alias("created_at"), F.max("description").alias("description"), n("mkdir"), n("move"), n("delete"))

@@ -80,6 +80,10 @@ def windowed_counts(feed: DataFrame, ts: str = "seen_at", length: str = "1 hour"
     return stream.groupBy(F.window(ts, length).alias("w"), "kind").agg(F.count("*").alias("events")).select(F.col("w.start").alias("started"), "kind", "events")
 
 
+#: Up to this many changed files are opened by name.
+MAX_LISTED = 2000
+
+
 @dataclass
 class Indexer:
     """Keeps a store in step with a folder: one lazy pipeline over all changed files per run, not per file."""
@@ -115,16 +119,25 @@ class Indexer:
     def sync(self, root: str, force: bool = False, under: str | None = None) -> DataFrame:
         """Bring the store up to date with a folder (or the part below ``under``); returns what changed.
 
-        Unchanged files are not read again unless ``force``. Files that cannot be extracted get
+        Files whose size and time are those of an indexed record are not opened unless ``force``. Files that cannot be extracted get
         an ``error`` record. Everything becomes visible in one commit.
         """
         spark = self.store.spark
-        listed = scan(spark, root, self.includes, self.excludes, self.max_size, content=True)
         known = self.store.read("files")
-        if under is not None:
-            listed, known = (d.where((F.col("path") == under) | F.col("path").startswith(under.rstrip("/") + "/")) for d in (listed, known))
-        hashed = listed.withColumn("content_hash", content_hash(F.col("content")))
-        snapshot = materialize(hashed.select("path", "content_hash"), "ix-snapshot")
+        inside = lambda d: d if under is None else d.where((F.col("path") == under) | F.col("path").startswith(under.rstrip("/") + "/"))
+        listing = materialize(inside(scan(spark, root, self.includes, self.excludes, self.max_size)), "ix-listing")
+        known = inside(known)
+        same_stat = listing.join(known.where("status = 'indexed'").select("path", "size_bytes", "modified_at", "content_hash"), ["path", "size_bytes", "modified_at"])
+        if force:
+            same_stat = same_stat.limit(0)
+        to_read = listing.select("path").join(same_stat.select("path"), "path", "left_anti")
+        few = [r.path for r in to_read.limit(MAX_LISTED + 1).collect()]
+        # a few changed files are opened by name, many by a scan of the folder
+        source = few if 0 < len(few) <= MAX_LISTED else root
+        hashed = scan(spark, root, self.includes, self.excludes, self.max_size, content=True, only=source).join(to_read, "path", "left_semi") if few else scan(spark, root, content=True).limit(0)
+        hashed = hashed.withColumn("content_hash", content_hash(F.col("content")))
+        snapshot = hashed.select("path", "content_hash").unionByName(same_stat.select("path", "content_hash"))
+        snapshot = materialize(snapshot, "ix-snapshot")
         changes = diff(snapshot, known)
         if force:
             same = snapshot.select("path").join(changes.select("path"), "path", "left_anti").join(changes.select(F.col("to_path").alias("path")), "path", "left_anti")

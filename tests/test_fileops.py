@@ -101,10 +101,13 @@ def test_history_files(spark, ws, tmp_path):
 
 def test_plan_documents(spark, tmp_path):
     files_df = spark.createDataFrame([("/p/a.txt", "text/plain"), ("/p/b.md", "text/plain")], "path string, mime_type string")
-    doc = logs.plan_document(organize.by_type(files_df, "/p"), "plan1", "by type")
-    doc.coalesce(1).write.json(f"{tmp_path}/plans")
-    (r,) = logs.read_plans(spark, f"{tmp_path}/plans").collect()
-    assert r.plan_id == "plan1" and [a.action for a in r.actions].count("move") == 2 and r.actions[0].action == "move"
+    logs.write_plan(organize.by_type(files_df, "/p"), f"{tmp_path}/plans", "plan1", "by type")
+    logs.write_plan(organize.by_project(files_df, "/p"), f"{tmp_path}/plans", "plan2", "by project")
+    with open(f"{tmp_path}/plans/plan1/odd.json", "w") as f:
+        f.write("no json\n")
+    plans = logs.read_plans(spark, f"{tmp_path}/plans")
+    assert plans.count() == 4 and plans.where("action = 'move'").count() == 2
+    assert [(r.plan_id, r.mkdir, r.move) for r in logs.summarize_plans(plans).collect()] == [("plan1", 2, 2)]
 
 
 def test_trash_tables(spark):
