@@ -120,8 +120,8 @@ def fill_containers(
 ) -> DataFrame:
     """Every text in a container: ``(doc_id, piece, token_start, token_end, tokens, loss_tokens, container)``.
 
-    A text of at most ``capacity`` tokens is one piece; a larger one is cut after every
-    ``capacity`` tokens and only its rest is packed with others. No container holds more than
+    A text within the limits is one piece; a larger one is cut as seldom as they allow, and
+    pieces that do not fill a container are packed with others. No container holds more than
     ``capacity`` tokens, ``max_segments`` pieces or ``max_loss`` (default: ``capacity``)
     loss-bearing tokens. Loss-bearing tokens of a cut text are shared out in proportion.
 
@@ -129,8 +129,8 @@ def fill_containers(
     rows of an id the longest is taken; an empty table gives an empty result.
     """
     max_loss = capacity if max_loss is None else max_loss
-    if capacity < 1 or max_segments < 1 or max_loss < capacity:
-        raise ValueError("capacity and max_segments must be positive and max_loss at least capacity")
+    if capacity < 1 or max_segments < 1 or max_loss < 1:
+        raise ValueError("capacity, max_segments and max_loss must be positive")
     # sizes are small however costly they are to pack: keep them on all cores
     cores = df.sparkSession.sparkContext.defaultParallelism
     sized = token_sizes(df, id_col, text_col, vocabulary).repartition(cores, "id").groupBy("id").agg(F.max(F.struct("tokens", "loss")).alias("s"))
@@ -143,16 +143,17 @@ def fill_containers(
         def flush() -> pa.RecordBatch:
             nonlocal serial
             ids, tokens, loss = (np.concatenate(x) for x in zip(*held, strict=True))
-            whole = tokens // capacity
-            whole -= (whole > 0) & (tokens % capacity == 0)  # the last full piece is packed like a rest
+            # a piece is as long as both limits allow; one less for rounding where loss binds
+            step = np.where(loss * capacity <= max_loss * tokens, capacity, np.maximum(1, (max_loss - 1) * tokens // np.maximum(loss, 1)))
+            whole = np.maximum(-(-tokens // step) - 1, 0)  # the last piece is packed as a rest, even if it is full
             row = np.repeat(np.arange(len(ids)), whole + 1)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(whole + 1) - whole - 1, whole + 1)
-            start = piece * capacity
-            end = np.minimum(start + capacity, tokens[row])
+            start = piece * step[row]
+            end = np.minimum(start + step[row], tokens[row])
             size = end - start
             total = np.maximum(tokens[row], 1)
             share = loss[row] * end // total - loss[row] * start // total
-            rest = piece == whole[row]
+            rest = (piece == whole[row]) | (size < capacity)  # only pieces that fill a container need no packing
             box = np.empty(len(row), object)
             box[~rest] = [f"{ids[r]}.{p}" for r, p in zip(row[~rest], piece[~rest], strict=True)]
             sizes = np.stack([size[rest], np.ones(rest.sum(), np.int64), share[rest]], 1)

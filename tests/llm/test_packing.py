@@ -54,6 +54,15 @@ def test_table(spark):
     assert packing.fill_containers(spark.createDataFrame([], df.schema)).count() == 0
     with pytest.raises(ValueError):
         packing.fill_containers(df, capacity=0)
+    by_box, by_doc = {}, {}
+    for r in packing.fill_containers(df, capacity=512, max_segments=50, max_loss=100).collect():  # loss binds
+        by_box.setdefault(r.container, []).append(r)
+        by_doc.setdefault(r.doc_id, []).append(r)
+    assert all(sum(r.tokens for r in p) <= 512 and sum(r.loss_tokens for r in p) <= 100 and len(p) <= 50 for p in by_box.values())
+    for i, parts in by_doc.items():
+        parts.sort(key=lambda r: r.piece)
+        assert [p.token_start for p in parts] == [0, *(p.token_end for p in parts[:-1])]
+        assert parts[-1].token_end == len(enc.encode_ordinary(next(r[1] for r in rows if r[0] == i)))
 
 
 @needs_vocabulary
