@@ -28,16 +28,10 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.words import ALNUM, Words, mix, pieces
 from gleaner.operators.graph import connected_components
+from gleaner.operators.vector_join import vector_bytes, vector_rows
 from gleaner.runtime import materialize
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    if not len(column):
-        return np.empty((0, dim), np.float32)
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(len(column), dim)
-
-
 def _doubles(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * np.int32(m.shape[1])), pa.array(np.ascontiguousarray(m, np.float64).reshape(-1)))
 
@@ -82,9 +76,7 @@ def group_vectors(df: DataFrame, id_col: str, group_col: str, vec_col: str, dim:
             m = b.column("s").flatten().to_numpy().reshape(b.num_rows, dim)
             norm = np.sqrt((m * m).sum(1))
             ok = norm > 1e-9
-            v = np.ascontiguousarray((m[ok] / norm[ok][:, None]).astype(np.float32))
-            offsets = np.arange(len(v) + 1, dtype=np.int32) * np.int32(dim * 4)
-            yield pa.RecordBatch.from_arrays([b.column("g").filter(pa.array(ok)), pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(offsets), pa.py_buffer(v)])], ["id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("g").filter(pa.array(ok)), vector_bytes(m[ok] / norm[ok][:, None])], ["id", "v"])
 
     return _sum_vectors(parts, "g", dim).mapInArrow(scale, "id string, v binary")
 
@@ -150,7 +142,7 @@ def kmeans(vectors: DataFrame, k: int, dim: int = 64, rounds: int = 5, lloyd: in
 
         def race(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                d = _nearest(_matrix(b.column("v"), dim), now)[1]
+                d = _nearest(vector_rows(b.column("v"), dim), now)[1]
                 ok = d > 1e-9
                 u = (b.column("u").to_numpy().view(np.uint64)[ok] >> np.uint64(11)).astype(np.float64) / 2**53
                 key = -np.log(np.maximum(u, 1e-300)) / d[ok]
@@ -165,7 +157,7 @@ def kmeans(vectors: DataFrame, k: int, dim: int = 64, rounds: int = 5, lloyd: in
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, n = np.zeros((len(centres), dim)), np.zeros(len(centres), np.int64)
             for b in batches:
-                x = _matrix(b.column("v"), dim)
+                x = vector_rows(b.column("v"), dim)
                 if len(x):
                     at = _nearest(x, centres)[0]
                     n += np.bincount(at, minlength=len(centres))
@@ -213,7 +205,7 @@ def assign(vectors: DataFrame, centres: np.ndarray, dim: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("v"), dim)
+            x = vector_rows(b.column("v"), dim)
             at = _nearest(x, centres)[0] if len(x) else np.empty(0, np.int64)
             c = centres[at]
             near = (x * c).sum(1) / np.maximum(np.sqrt((x * x).sum(1) * (c * c).sum(1)), 1e-12)
@@ -278,7 +270,7 @@ def link_clusters(
     def to_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``part``: the first core group linked (-1: none); ``also``: further ones; ``near``: whether a group comes near without a link."""
         for b in batches:
-            x = _matrix(b.column("v"), dim)
+            x = vector_rows(b.column("v"), dim)
             own, also, near = np.full(len(x), -1, np.int32), [None] * len(x), np.zeros(len(x), bool)
             for lo in range(0, len(x), 2048):
                 best = np.maximum.reduceat(x[lo : lo + 2048] @ ordered.T, first, axis=1)
@@ -305,7 +297,7 @@ def link_clusters(
         def to_all(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, q_nodes: np.ndarray = q_nodes) -> Iterator[pa.RecordBatch]:
             """A spanning forest of the links between the block's rows and a batch of rows."""
             for b in batches:
-                x, nodes = _matrix(b.column("v"), dim), np.array(b.column("node").to_pylist(), object)
+                x, nodes = vector_rows(b.column("v"), dim), np.array(b.column("node").to_pylist(), object)
                 ai, bi = [], []
                 for lo in range(0, len(x), 512):
                     s = x[lo : lo + 512] @ q.T
@@ -338,13 +330,13 @@ def describe(vectors: DataFrame, clusters: DataFrame, dim: int = 64, members: in
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("cluster"), pa.array(np.ones(b.num_rows, np.int64)), _doubles(_matrix(b.column("v"), dim).astype(np.float64))], ["cluster", "n", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("cluster"), pa.array(np.ones(b.num_rows, np.int64)), _doubles(vector_rows(b.column("v"), dim).astype(np.float64))], ["cluster", "n", "s"])
 
     centre = _sum_vectors(both.select("cluster", "v").mapInArrow(arrays, "cluster string, n long, s array<double>"), "cluster", dim)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, c = _matrix(b.column("v"), dim), b.column("s").flatten().to_numpy().reshape(b.num_rows, dim)
+            x, c = vector_rows(b.column("v"), dim), b.column("s").flatten().to_numpy().reshape(b.num_rows, dim)
             cos = (x * c).sum(1) / np.maximum(np.sqrt((c * c).sum(1)), 1e-12)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("cluster"), pa.array(np.round(cos, 6))], ["id", "cluster", "near"])
 

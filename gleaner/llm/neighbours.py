@@ -25,28 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.vector_join import vector_bytes, vector_rows
 from gleaner.runtime import materialize
 
 MAX_BLOCKS = 4096
 TIE = 1e-6
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a binary column of ``dim`` float32 each as a matrix, without copying."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    start, size = column.offset, len(column)
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[start : start + size + 1]
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if size else np.empty(0, np.uint8)
-    return data.view(np.float32).reshape(size, dim)
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    rows = np.ascontiguousarray(rows, dtype=np.float32)
-    width = rows.shape[1] * 4
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
-
-
 def unit_vectors(df: DataFrame, id_col: str, group_col: str, vec_col: str, dim: int) -> DataFrame:
     """``(id, grp, vid, v)``: unit-length vectors as bytes, with a hash of vector and group.
 
@@ -65,7 +50,7 @@ def unit_vectors(df: DataFrame, id_col: str, group_col: str, vec_col: str, dim:
             m = (m[keep] / norm[keep][:, None]).astype(np.float32)
             m += 0.0  # -0.0 and 0.0 are the same direction
             mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask), _binary(m)], ["id", "fh", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask), vector_bytes(m)], ["id", "fh", "v"])
 
     rows = df.select(
         F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(group_col).cast("string")).alias("fh"), F.col(vec_col).cast("array<float>").alias("v")
@@ -163,7 +148,7 @@ def _route(index: MultiIndex, candidates: int, dim: int):
         for b in batches:
             vid, cell = b.column("vid").to_numpy(), b.column("cell").to_numpy()
             sole = b.column("sole").to_numpy()
-            x = _matrix(b.column("v"), dim)
+            x = vector_rows(b.column("v"), dim)
             own = index.block[cell]
             at = index.first[own] + (vid.view(np.uint64) % index.splits[own].astype(np.uint64)).astype(np.int64)
             rows, blocks, files = [np.arange(len(vid))], [at], [sole]
@@ -181,7 +166,7 @@ def _route(index: MultiIndex, candidates: int, dim: int):
             kind = np.ones(len(row), np.int8)
             kind[: len(vid)] = 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(blocks).astype(np.int32)), pa.array(kind), pa.array(vid[row]), pa.array(np.concatenate(files)), _binary(x[row])],
+                [pa.array(np.concatenate(blocks).astype(np.int32)), pa.array(kind), pa.array(vid[row]), pa.array(np.concatenate(files)), vector_bytes(x[row])],
                 ["block", "kind", "vid", "fh", "v"],
             )
 
@@ -228,7 +213,7 @@ def _search(k: int, floor: float | None, dim: int):
         current, parts, items = None, [], None
         for b in batches:
             block, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
-            vid, fh, x = b.column("vid").to_numpy(), b.column("fh").to_numpy(), _matrix(b.column("v"), dim)
+            vid, fh, x = b.column("vid").to_numpy(), b.column("fh").to_numpy(), vector_rows(b.column("v"), dim)
             change = np.flatnonzero(np.diff(block.astype(np.int64) * 2 + kind)) + 1
             for lo, hi in zip(np.append(0, change), np.append(change, len(block)), strict=True):
                 if hi == lo:
@@ -312,7 +297,7 @@ def similar_vectors(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell = index.cells(_matrix(b.column("v"), dim)) if b.num_rows else np.empty(0, np.int64)
+            cell = index.cells(vector_rows(b.column("v"), dim)) if b.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
 
     placed = units.mapInArrow(place, "vid long, sole long, ask array<long>, v binary, cell long")
