@@ -248,7 +248,8 @@ def similar_sets(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, and the pairs of classes with Jaccard ``threshold`` or more.
 
-    Returns ``members (k1, k2, id, grp)``, one row per id, and ``links (a1, a2, b1, b2, jaccard)``.
+    Returns ``members (k1, k2, id, grp, shared)``, one row per id (``shared``: whether its class
+    has other members or links), and ``links (a1, a2, b1, b2, jaccard)``.
     Null ids, null texts and texts of fewer than ``least`` words take no part; repeated rows of
     an id count once; a null group is a group of its own. An empty table gives empty results.
     """
@@ -310,7 +311,13 @@ def similar_sets(
 
     checked = near.join(left, "a").join(right, "b").select("a", "a2", "b", "b2", "sa", "sb")
     links = checked.mapInArrow(jaccard, "a1 long, a2 long, b1 long, b2 long, jaccard double").where(F.col("jaccard") >= threshold)
-    return members, materialize(links, "nd-links")
+    links = materialize(links, "nd-links")
+    # few classes have copies or links: mark their members once, so that nothing later touches the rest
+    ends = links.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(links.select(F.col("b1").alias("k1"), F.col("b2").alias("k2")))
+    several = members.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("k1", "k2")
+    shared = ends.unionByName(several).distinct().withColumn("shared", F.lit(True))
+    members = members.join(shared, ["k1", "k2"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    return materialize(members, "nd-members"), links
 
 
 def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -321,7 +328,7 @@ def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     is paired with a representative of another group, and a link between classes pairs only
     the representatives.
     """
-    members = materialize(members, "nd-members")
+    members = materialize(members.where("shared").drop("shared"), "nd-shared")
     count = members.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("id", "grp")).alias("r1"))
     other = (
         members.join(count.where(F.col("n") > 1), ["k1", "k2"])
@@ -362,7 +369,8 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     id's class is linked to. Ids without a partner form a group of their own.
     """
     key = lambda a, b: F.concat_ws(":", F.col(a), F.col(b))
-    members = members.withColumn("c", key("k1", "k2"))
+    alone = members.where(~F.col("shared")).select("id", "grp", F.col("id").alias("group_id"), F.lit(0).cast("long").alias("links"))
+    members = members.where("shared").withColumn("c", key("k1", "k2"))
     edges = links.select(key("a1", "a2").alias("a"), key("b1", "b2").alias("b"))
     comp = connected_components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
@@ -370,4 +378,4 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     named = named.withColumn("component", F.coalesce("component", "c"))
     named = materialize(named.select("id", "grp", "component", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "nd-named")
     first = named.groupBy("component").agg(F.min("id").alias("group_id"))
-    return named.join(first, "component").select("id", "grp", "group_id", "links")
+    return named.join(first, "component").select("id", "grp", "group_id", "links").unionByName(alone)
