@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.words import ALNUM_, Words, mix, pieces
 from gleaner.operators.graph import connected_components
-from gleaner.runtime import materialize, spread
+from gleaner.runtime import drop_materialized, materialize, spread
 
 SKETCH_BITS = 256
 TILE = 1024
@@ -257,7 +257,7 @@ def similar_sets(
         raise ValueError("threshold must lie in (0, 1]")
     spark = df.sparkSession
     sigs = materialize(signatures(df, id_col, group_col, text_col, shingle, least, bands, rows, seed), "nd-sigs")
-    members = sigs.select("k1", "k2", "id", "grp").distinct()
+    members = materialize(sigs.select("k1", "k2", "id", "grp").distinct(), "nd-ids")
     classes = sigs.groupBy("k1", "k2").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     banded = classes.mapInArrow(_explode_bands(bands), f"key long, k1 long, size int, sketch {_BIN}")
     seen = sigs.where(F.pmod("k1", F.lit(SAMPLE)) == 0).dropDuplicates(["k1", "k2"]).mapInArrow(_explode_bands(bands), f"key long, k1 long, size int, sketch {_BIN}")
@@ -277,8 +277,9 @@ def similar_sets(
     near = materialize(tiles.mapInArrow(_pairs_in_buckets(ratio), "a long, b long").distinct(), "nd-candidates")
     # verify on the shingle sets of one text per class that has a candidate
     ids = near.select(F.col("a").alias("k1")).unionByName(near.select(F.col("b").alias("k1"))).distinct()
-    reps = sigs.groupBy("k1", "k2").agg(F.min("id").alias("id"))
+    reps = members.groupBy("k1", "k2").agg(F.min("id").alias("id"))
     wanted = materialize(reps.join(ids, "k1", "left_semi").select("k1", "k2", F.col("id").alias("_id")), "nd-wanted")
+    drop_materialized(sigs)  # candidates and ids are written; nothing reads the signatures again
     pick = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull()).join(pick, "_id")
 
