@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.words import ALNUM_, Words, mix, pieces
 from gleaner.operators.graph import connected_components
-from gleaner.runtime import drop_materialized, materialize, spread
+from gleaner.runtime import materialize, spread
 
 SKETCH_BITS = 256
 TILE = 1024
@@ -88,7 +88,7 @@ def _sets(texts: list[str], shingle: int, least: int) -> tuple[np.ndarray, np.nd
 def signatures(df: DataFrame, id_col: str, group_col: str, text_col: str, shingle: int, least: int, bands: int, rows: int, seed: int) -> DataFrame:
     """``(id, grp, k1, k2, size, sketch, bands)`` of every text with at least ``least`` words.
 
-    ``(k1, k2)`` identify the shingle set; null ids, null texts and shorter texts have no row.
+    Without bands only the first four columns. ``(k1, k2)`` identify the shingle set; null ids, null texts and shorter texts have no row.
     """
     rng = np.random.default_rng(seed)
     odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,6 +104,10 @@ def signatures(df: DataFrame, id_col: str, group_col: str, text_col: str, shingl
                 size = np.diff(np.append(first, len(h)))
                 k1 = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), first)
                 k2 = np.add.reduceat(mix(h ^ np.uint64(0x14057B7EF767814F)), first)
+                take = pa.array(own + lo)
+                if not bands:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["id", "grp", "k1", "k2"])
+                    continue
                 at = np.repeat(np.arange(len(own)), size)
                 flips = np.bincount(at * SKETCH_BITS + (h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=len(own) * SKETCH_BITS)
                 sketch = np.packbits((flips & 1).astype(np.uint8).reshape(len(own), SKETCH_BITS), axis=1)
@@ -111,7 +115,6 @@ def signatures(df: DataFrame, id_col: str, group_col: str, text_col: str, shingl
                 for i, a in enumerate(odd):
                     low = np.minimum.reduceat((h * a) >> np.uint64(32), first)
                     keys[:, i // rows] = mix(keys[:, i // rows] + low + np.uint64(i + 1))
-                take = pa.array(own + lo)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), b.column(1).take(take), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), _fixed(sketch), _fixed(keys)],
                     ["id", "grp", "k1", "k2", "size", "sketch", "bands"],
@@ -119,7 +122,7 @@ def signatures(df: DataFrame, id_col: str, group_col: str, text_col: str, shingl
 
     cols = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(text_col).cast("string").alias("t"))
     cols = cols.where(F.col("id").isNotNull() & F.col("t").isNotNull())
-    return spread(cols).mapInArrow(run, f"id string, grp string, k1 long, k2 long, size int, sketch {_BIN}, bands {_BIN}")
+    return spread(cols).mapInArrow(run, "id string, grp string, k1 long, k2 long" + (f", size int, sketch {_BIN}, bands {_BIN}" if bands else ""))
 
 
 def _explode_bands(bands: int):
@@ -256,11 +259,14 @@ def similar_sets(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     spark = df.sparkSession
-    sigs = materialize(signatures(df, id_col, group_col, text_col, shingle, least, bands, rows, seed), "nd-sigs")
-    members = materialize(sigs.select("k1", "k2", "id", "grp").distinct(), "nd-ids")
+    # signatures are computed where they are used: storing them would cost more disk than hashing costs time
+    sigs = signatures(df, id_col, group_col, text_col, shingle, least, bands, rows, seed)
+    ids_of = signatures(df, id_col, group_col, text_col, shingle, least, 0, rows, seed)
+    members = materialize(ids_of.select("k1", "k2", "id", "grp").distinct(), "nd-ids")
     classes = sigs.groupBy("k1", "k2").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     banded = classes.mapInArrow(_explode_bands(bands), f"key long, k1 long, size int, sketch {_BIN}")
-    seen = sigs.where(F.pmod("k1", F.lit(SAMPLE)) == 0).dropDuplicates(["k1", "k2"]).mapInArrow(_explode_bands(bands), f"key long, k1 long, size int, sketch {_BIN}")
+    part = df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(SAMPLE)) == 0)
+    seen = signatures(part, id_col, group_col, text_col, shingle, least, bands, rows, seed).dropDuplicates(["k1", "k2"]).mapInArrow(_explode_bands(bands), f"key long, k1 long, size int, sketch {_BIN}")
     hot = seen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > HOT)
     hot = materialize(hot.select("key", F.ceil(F.col("n") * SAMPLE / (HOT // 2)).cast("int").alias("parts")), "nd-hot")
     n_hot = hot.count()
@@ -279,7 +285,6 @@ def similar_sets(
     ids = near.select(F.col("a").alias("k1")).unionByName(near.select(F.col("b").alias("k1"))).distinct()
     reps = members.groupBy("k1", "k2").agg(F.min("id").alias("id"))
     wanted = materialize(reps.join(ids, "k1", "left_semi").select("k1", "k2", F.col("id").alias("_id")), "nd-wanted")
-    drop_materialized(sigs)  # candidates and ids are written; nothing reads the signatures again
     pick = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull()).join(pick, "_id")
 
