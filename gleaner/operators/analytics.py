@@ -33,35 +33,73 @@ def duplicate_pairs(centroids: DataFrame, threshold: float = 0.95, dim: int = 64
     return similarity_join(centroids, "path", "centroid", threshold, dim)
 
 
-def greedy_groups(pairs: DataFrame, sizes: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _greedy_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by component, kind and path: members (kind 0), then what each path may be paired with (kind 1).
+
+    What is used of a class is always the front of its paths: an earlier path left over would
+    have taken a later one of its class.
+    """
+    component, held, head = None, {}, {}
+    path, own, best = None, None, None
+    out: list[tuple[str, str, float]] = []
+
+    def settle() -> None:
+        if best is not None:
+            out.append((path, best[0], best[2]))
+            head[own] += 1
+            head[best[1]] += 1
+
+    for b in batches:
+        for c, kind, p, cls, other, cosine in zip(*(b.column(n).to_pylist() for n in ("component", "kind", "path", "class", "other", "cosine")), strict=True):
+            if c != component or p != path:
+                settle()
+                path, own, best = p, cls, None
+                if c != component:
+                    component, held, head = c, {}, {}
+            if kind == 0:
+                held.setdefault(cls, []).append(p)
+                head[cls] = 0
+                continue
+            mine, theirs = held[cls], held[other]
+            at = head[other] + (other == cls)
+            if head[cls] < len(mine) and mine[head[cls]] == p and at < len(theirs) and (best is None or theirs[at] < best[0]):
+                best = (theirs[at], other, cosine)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64())], ["a", "b", "cosine"])
+            out.clear()
+    settle()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64())], ["a", "b", "cosine"])
+
+
+def greedy_groups(pairs: DataFrame, sizes: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """``(representative, duplicate, cosine, wasted)``: pairs in path order, each file used at most once.
 
-    ``pairs (a, b, cosine)`` and ``sizes (path, size)``. The larger file of a pair represents
-    it, ties the first path. The greedy choice in the order ``(a, b)`` is found in rounds: a
-    pair is taken when it is the first of the open pairs of both its files, which then leave.
+    ``pairs (a, b, cosine)`` and ``sizes (path, size)``. ``members (id, class)`` adds the files
+    that share a direction with the one in the pair: they pair with each other, at cosine 1,
+    and with whatever their class pairs with. The larger file of a pair represents it, ties the
+    first path. The greedy choice in the order ``(a, b)`` is one scan per connected component,
+    so long chains and large groups end; a task holds the paths of one component at a time and
+    streams the pairs past them. Pairs between classes are never written out file by file.
     """
-    open_pairs = materialize(pairs.select("a", "b", "cosine").dropDuplicates(["a", "b"]), "gg-open")
-    taken = []
-    for _ in range(max_rounds):
-        if open_pairs.isEmpty():
-            break
-        ends = open_pairs.select(F.explode(F.array("a", "b")).alias("f"), F.struct("a", "b").alias("p")).groupBy("f").agg(F.min("p").alias("first"))
-        mine = ends.select(F.col("f").alias("a"), F.col("first").alias("fa"))
-        yours = ends.select(F.col("f").alias("b"), F.col("first").alias("fb"))
-        best = open_pairs.join(mine, "a").join(yours, "b").where((F.col("fa") == F.struct("a", "b")) & (F.col("fb") == F.struct("a", "b")))
-        best = materialize(best.select("a", "b", "cosine"), "gg-taken")
-        taken.append(best)
-        used = best.select(F.explode(F.array("a", "b")).alias("f"))
-        rest = open_pairs.join(used.withColumnRenamed("f", "a"), "a", "left_anti").join(used.withColumnRenamed("f", "b"), "b", "left_anti")
-        open_pairs = materialize(rest.select("a", "b", "cosine"), "gg-open")
-    else:
-        raise RuntimeError("greedy pairing did not settle")
-    spark = pairs.sparkSession
-    if not taken:
-        return spark.createDataFrame([], "representative string, duplicate string, cosine double, wasted long")
-    every = taken[0]
-    for t in taken[1:]:
-        every = every.unionByName(t)
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.col("cosine").cast("double")).alias("cosine"))
+    pairs = materialize(pairs.where(F.col("a") != F.col("b")), "gg-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    named = ends.select(F.col("class").alias("path"), "class")
+    if members is not None:
+        files = members.groupBy(F.col("id").alias("path")).agg(F.min("class").alias("class"))
+        named = files.unionByName(named.join(files.select("path"), "path", "left_anti"))
+    classes = named.groupBy("class").agg(F.count("*").alias("n"), F.max("path").alias("last")).join(ends.withColumn("paired", F.lit(True)), "class", "left")
+    classes = classes.where((F.col("n") > 1) | F.col("paired")).join(connected_components(pairs).withColumnRenamed("vertex", "class"), "class", "left")
+    classes = materialize(classes.select("class", "n", "last", F.coalesce("component", "class").alias("component")), "gg-classes")
+    named = materialize(named.join(classes.select("class", "component"), "class").select("component", "path", "class"), "gg-members")
+    links = pairs.select(F.col("a").alias("class"), F.col("b").alias("other"), "cosine").unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other"), "cosine"))
+    links = links.unionByName(classes.where("n > 1").select("class", F.col("class").alias("other"), F.lit(1.0).alias("cosine")))
+    links = links.join(classes.select(F.col("class").alias("other"), "last"), "other")
+    asks = named.join(links, "class").where(F.col("last") > F.col("path")).select("component", F.lit(1).alias("kind"), "path", "class", "other", "cosine")
+    rows = named.select("component", F.lit(0).alias("kind"), "path", "class", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("cosine")).unionByName(asks)
+    rows = rows.repartition("component").sortWithinPartitions("component", "kind", "path")
+    every = materialize(rows.mapInArrow(_greedy_scan, "a string, b string, cosine double"), "gg-taken")
     size = sizes.groupBy("path").agg(F.max("size").cast("long").alias("size"))
     every = every.join(size.select(F.col("path").alias("a"), F.col("size").alias("sa")), "a", "left").join(size.select(F.col("path").alias("b"), F.col("size").alias("sb")), "b", "left")
     swap = F.coalesce("sb", F.lit(0)) > F.coalesce("sa", F.lit(0))

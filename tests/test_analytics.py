@@ -121,3 +121,13 @@ def test_global_index(spark):
     df = spark.createDataFrame([(f"{i:03d}",) for i in random.Random(1).sample(range(200), 200)], "k string")
     got = {r.k: r.position for r in A.global_index(df, "k").collect()}
     assert got == {f"{i:03d}": i for i in range(200)}
+
+
+def test_greedy_settles_large_groups_and_chains(spark):
+    group = [f"g{i:03d}" for i in range(220)]
+    chain = [f"h{i:03d}" for i in range(221)]
+    edges = [(a, b) for i, a in enumerate(group) for b in group[i + 1 :]] + list(zip(chain, chain[1:], strict=False))
+    df = spark.createDataFrame([(a, b, 0.97) for a, b in edges], "a string, b string, cosine double")
+    out = A.greedy_groups(df, spark.createDataFrame([], "path string, size long"))
+    want = {(x[i], x[i + 1]) for x in (group, chain) for i in range(0, 220, 2)}
+    assert {(r.representative, r.duplicate) for r in out.collect()} == want
