@@ -98,8 +98,7 @@ class Corpus:
         pairs, members = analytics.duplicate_pairs(self.centroids(), threshold, self.embedder.dim)
         if mode == "components":
             return analytics.duplicate_components(pairs, members)
-        same = members.where("id != class").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
-        return analytics.greedy_groups(pairs.unionByName(same), self.files.select("path", F.col("size_bytes").alias("size")))
+        return analytics.greedy_groups(pairs, self.files.select("path", F.col("size_bytes").alias("size")), members)
 
     def cleanup(self, threshold: float = 0.95, now: str | None = None) -> DataFrame:
         return analytics.cleanup_candidates(self.files, self.duplicates(threshold), now)

@@ -407,7 +407,8 @@ def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
 def duplicate_groups_greedy(spark: SparkSession, d: str) -> DataFrame:
     """Representative and duplicate, each file used once."""
     sizes = table(spark, d, "files").select("path", F.col("size_bytes").alias("size"))
-    return A.greedy_groups(_pairs(spark, d)[0], sizes).withColumn("cosine", F.round("cosine", 5))
+    pairs, members = _pairs(spark, d)
+    return A.greedy_groups(pairs, sizes, members).withColumn("cosine", F.round("cosine", 5))
 
 
 @query()

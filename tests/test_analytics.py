@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.operators import analytics as A
 from gleaner.operators.graph import connected_components
@@ -131,3 +132,33 @@ def test_greedy_settles_large_groups_and_chains(spark):
     out = A.greedy_groups(df, spark.createDataFrame([], "path string, size long"))
     want = {(x[i], x[i + 1]) for x in (group, chain) for i in range(0, 220, 2)}
     assert {(r.representative, r.duplicate) for r in out.collect()} == want
+
+
+def test_greedy_uses_copies(spark):
+    rng = random.Random(8)
+    classes = [f"c{i}" for i in range(12)]
+    near = {tuple(sorted(rng.sample(classes, 2))) for _ in range(9)}
+    own = {f"{rng.randint(0, 999):03d}-{c}-{j}": c for c in classes for j in range(rng.randint(1, 7))}
+    first = {c: min(f for f in own if own[f] == c) for c in classes}
+    used, want = set(), set()
+    for a in sorted(own):
+        for b in sorted(own):
+            if a < b and not {a, b} & used and (own[a] == own[b] or tuple(sorted((own[a], own[b]))) in near):
+                used |= {a, b}
+                want.add((a, b, 1.0 if own[a] == own[b] else 0.96))
+    df = spark.createDataFrame([(*sorted((first[a], first[b])), 0.96) for a, b in near], "a string, b string, cosine double")
+    members = spark.createDataFrame([(f, first[c]) for f, c in own.items()], "id string, class string")
+    sizes = spark.createDataFrame([(f, 10) for f in own], "path string, size long")
+    assert {(r.representative, r.duplicate, r.cosine) for r in A.greedy_groups(df, sizes, members).collect()} == want
+
+
+def test_queries_pair_exact_copies(spark, tmp_path):
+    from gleaner import queries as Q
+
+    vec = [1.0, 2.0] + [0.0] * 62
+    chunks = [(f"/d/{n}", vec) for n in ("a", "b", "c", "d", "e")] + [("/d/z", vec[::-1])]
+    spark.createDataFrame([(f"{p}#0", p, v) for p, v in chunks], "chunk_id string, file_path string, embedding array<float>").withColumn("indexed_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/chunks.parquet")
+    files = spark.createDataFrame([(p, 100) for p, _ in chunks], "path string, size_bytes long").withColumn("modified_at", F.lit("2024-01-01").cast("timestamp"))
+    files.write.parquet(f"{tmp_path}/files.parquet")
+    got = {(r.representative, r.duplicate, r.cosine, r.wasted) for r in Q.duplicate_groups_greedy(spark, str(tmp_path)).collect()}
+    assert got == {("/d/a", "/d/b", 1.0, 100), ("/d/c", "/d/d", 1.0, 100)}
