@@ -2,13 +2,13 @@
 
 Vectors are scaled to unit length and cut in two halves; each half has its own codebook,
 so ``K`` centroids a half give ``K * K`` cells. A query walks the centroid pairs in order
-of summed distance with a heap until the visited cells hold ``candidates`` entries, and the
-entries are reranked by exact cosine. Cells that lie close together are packed into blocks
+of summed distance with a heap until the visited cells hold ``candidates`` entries of other
+groups, and the entries are reranked by exact cosine. Cells that lie close together are packed into blocks
 of about ``block`` vectors; a block is the unit that travels to a task, and every entry of
 a visited block is reranked, so the effective candidate list is larger than asked for.
 
-Scale: the only things on the driver are a bounded training sample, the two codebooks and
-one population count per cell (``K`` is capped). Equal vectors are collapsed before the
+Scale: the only things on the driver are a bounded training sample, the two codebooks, one
+population count per cell (``K`` is capped) and bounded counts of the largest groups. Equal vectors are collapsed before the
 search, blocks of more than twice the target size are split by hash and a query goes to
 every split, and queries stream past the resident block, so neither a hot vector, a hot
 cell nor a hot file meets one task. Work is (rows) x (visited blocks) x (block size).
@@ -29,6 +29,8 @@ from gleaner.operators.vector_join import vector_bytes, vector_rows
 from gleaner.runtime import materialize
 
 MAX_BLOCKS = 4096
+MAX_SIZES = 100_000
+MAX_COUNTS = 2_000_000
 TIE = 1e-6
 
 
@@ -114,17 +116,18 @@ class MultiIndex:
     def blocks(self) -> int:
         return int(self.splits.sum())
 
-    def visited(self, x: np.ndarray, candidates: int) -> list[set[int]]:
-        """For each row, the blocks of the nearest centroid pairs that hold ``candidates`` entries."""
+    def visited(self, x: np.ndarray, candidates: int | np.ndarray, population: np.ndarray | None = None) -> list[set[int]]:
+        """For each row, the blocks of the nearest centroid pairs that hold ``candidates`` entries, or as many of ``population``."""
         d1, d2 = _squared(x[:, : self.half], self.left), _squared(x[:, self.half :], self.right)
         o1, o2 = np.argsort(d1, 1), np.argsort(d2, 1)
         d1, d2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
-        width, population, block = len(self.right), self.population, self.block
-        wanted = min(candidates, int(population.sum()))
+        width, block = len(self.right), self.block
+        population = self.population if population is None else population
+        limits = np.minimum(np.broadcast_to(candidates, len(x)), int(population.sum())).tolist()
         push, pop, out = heapq.heappush, heapq.heappop, []
         last1, last2 = len(self.left) - 1, width - 1
         for r in range(len(x)):
-            a, b, p, q = d1[r].tolist(), d2[r].tolist(), (o1[r] * width).tolist(), o2[r].tolist()
+            a, b, p, q, wanted = d1[r].tolist(), d2[r].tolist(), (o1[r] * width).tolist(), o2[r].tolist(), limits[r]
             heap, held, found = [(a[0] + b[0], 0, 0)], 0, set()
             while held < wanted:
                 _, i, j = pop(heap)
@@ -141,7 +144,55 @@ class MultiIndex:
         return out
 
 
-def _route(index: MultiIndex, candidates: int, dim: int):
+class Own:
+    """How many entries are of the asking group alone, which never answer it.
+
+    ``counts`` has the entries of the largest groups by cell and ``sizes`` the number of entries
+    of further large groups; the others have at most ``rest``.
+    """
+
+    def __init__(self, sizes: dict[int, int], rest: int, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.sizes, self.rest, self.counts = sizes, rest, counts
+
+    @classmethod
+    def of(cls, placed: DataFrame, candidates: int, cells: int) -> Own:
+        rest = candidates // 64
+        groups = placed.where(F.col("sole") != 0).groupBy("sole").count().where(F.col("count") > rest)
+        large = [(r["sole"], r["count"]) for r in groups.orderBy(F.desc("count"), "sole").limit(MAX_SIZES).collect()]
+        if len(large) == MAX_SIZES:
+            rest = large[-1][1]
+        hot, held = [], 0
+        for g, n in large:
+            held += min(n, cells)
+            if n < candidates // 8 or held > MAX_COUNTS or len(hot) == 1024:
+                break
+            hot.append(g)
+        counts = {}
+        if hot:
+            t = placed.where(F.col("sole").isin(hot)).groupBy("sole", "cell").count().toPandas()
+            for g, part in t.groupby("sole"):
+                counts[int(g)] = part["cell"].to_numpy(np.int32), part["count"].to_numpy(np.int32)
+        return cls(dict(large), rest, counts)
+
+    def visited(self, index: MultiIndex, x: np.ndarray, groups: np.ndarray, candidates: int) -> list[set[int]]:
+        """For each row, blocks that hold ``candidates`` entries of groups other than its own, or all there are."""
+        out: list[set[int]] = [set()] * len(x)
+        hot = np.isin(groups, np.fromiter(self.counts, np.int64, len(self.counts)))
+        at = np.flatnonzero(~hot)
+        more = np.array([self.sizes.get(g, self.rest) for g in groups[at].tolist()], np.int64)
+        for i, s in zip(at.tolist(), index.visited(x[at], candidates + more), strict=True):
+            out[i] = s
+        for g in np.unique(groups[hot]):
+            population = index.population.copy()
+            cell, n = self.counts[int(g)]
+            population[cell] -= n
+            at = np.flatnonzero(groups == g)
+            for i, s in zip(at.tolist(), index.visited(x[at], candidates, population), strict=True):
+                out[i] = s
+        return out
+
+
+def _route(index: MultiIndex, own_entries: Own, candidates: int, dim: int):
     """Each vector once as an entry of its block, and as a query in every block it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,14 +205,13 @@ def _route(index: MultiIndex, candidates: int, dim: int):
             rows, blocks, files = [np.arange(len(vid))], [at], [sole]
             queries = [(i, f) for i, fs in enumerate(b.column("ask").to_pylist()) for f in fs]
             if queries:
-                who = np.array([i for i, _ in queries])
-                asked, back = np.unique(who, return_inverse=True)
-                seen = index.visited(x[asked], candidates)
-                lists = [np.concatenate([np.arange(index.first[k], index.first[k] + index.splits[k]) for k in sorted(s)]) for s in seen]
-                size = np.array([len(lists[k]) for k in back])
+                who, group = np.array([i for i, _ in queries]), np.array([f for _, f in queries], np.int64)
+                seen = own_entries.visited(index, x[who], group, candidates)
+                lists = [np.concatenate([np.empty(0, np.int64), *(np.arange(index.first[k], index.first[k] + index.splits[k]) for k in sorted(s))]) for s in seen]
+                size = np.array([len(s) for s in lists])
                 rows.append(np.repeat(who, size))
-                blocks.append(np.concatenate([lists[k] for k in back]))
-                files.append(np.repeat(np.array([f for _, f in queries], np.int64), size))
+                blocks.append(np.concatenate(lists))
+                files.append(np.repeat(group, size))
             row = np.concatenate(rows)
             kind = np.ones(len(row), np.int8)
             kind[: len(vid)] = 0
@@ -303,7 +353,8 @@ def similar_vectors(
     placed = units.mapInArrow(place, "vid long, sole long, ask array<long>, v binary, cell long")
     counts = placed.groupBy("cell").count().toPandas()
     index.pack(counts["cell"].to_numpy(), counts["count"].to_numpy(), block, seed)
-    routed = placed.mapInArrow(_route(index, candidates, dim), "block int, kind byte, vid long, fh long, v binary")
+    own = Own.of(placed, candidates, len(index.population))
+    routed = placed.mapInArrow(_route(index, own, candidates, dim), "block int, kind byte, vid long, fh long, v binary")
     parts = min(3 * index.blocks, 4000) if index.blocks > 1 else 1
     routed = routed.repartition(parts, "block").sortWithinPartitions("block", "kind")
     hits = routed.mapInArrow(_search(k, min_cosine, dim), "qvid long, qfh long, cvid long, cosine float")

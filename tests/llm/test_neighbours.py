@@ -99,3 +99,18 @@ def test_recall_on_sampled_queries(spark):
         hit += len(true & {n for n, _ in got[f"i{i:05d}"]})
         total += 5
     assert hit / total >= 0.9
+
+
+def test_own_rows_do_not_count_towards_the_candidates(spark):
+    rng = np.random.default_rng(9)
+    centre = np.eye(8)[0]
+    hot = [(f"h{i:04d}", "hot", [float(x) for x in centre + 0.2 * rng.normal(size=8)]) for i in range(1500)]
+    mid = [(f"m{i:04d}", "mid", [float(x) for x in np.eye(8)[3] + 0.2 * rng.normal(size=8)]) for i in range(9)]
+    other = [(f"o{i:04d}", f"f{i % 20}", [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    df = spark.createDataFrame(hot + mid + other, "id string, grp string, vec array<float>")
+    got, want = collect(similar_vectors(df, "id", "grp", "vec", 5, dim=8, candidates=100, block=40)), brute(hot + mid + other, 5)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    asked = [i for i in want if i[0] == "h"]
+    assert np.mean([len({n for n, _ in got[i]} & {n for n, _ in want[i]}) / 5 for i in asked]) > 0.95
+    alone = spark.createDataFrame(hot, df.schema)
+    assert similar_vectors(alone, "id", "grp", "vec", 5, dim=8, candidates=100, block=40).count() == 0
