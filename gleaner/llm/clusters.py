@@ -9,12 +9,13 @@ that send one partial sum per centroid.
 Where clusters are defined by links (cosine of at least ``min_cosine``, directly or through
 others) the centroids serve as the index: the members nearest each centroid are its core,
 rows are linked to cores, rows that link two cores join them, and the rows that no core
-explains, or that come near a second one, are compared with all rows, block by block. What
-is not compared is a pair of rows that each link to a core of another cluster and have a
-cosine below ``border`` with every core of the other's.
+explains, or that come near a second one, are compared with all rows, block by block. Then
+the linked rows outside the largest cluster are compared with those of other clusters, unless
+the angles to the cores exclude any link, so no link is lost and ``border`` only decides how
+much is left for that step.
 
-Scale: on the driver are only centroids, cores (``k * core`` rows) and one block of at most
-``block`` unexplained rows at a time. Sums are pre-aggregated, so a hot file costs nothing.
+Scale: on the driver are only centroids, cores (``k * core`` rows), pairs of core groups and one block of
+at most ``block`` rows at a time. Sums are pre-aggregated, so a hot file costs nothing.
 """
 
 from __future__ import annotations
@@ -236,6 +237,65 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _far_links(tagged: DataFrame, comp: DataFrame, n: int, cores: np.ndarray, first: np.ndarray, low: np.float32, block: int, dim: int) -> list[tuple[str, str]]:
+    """Links between core groups of different components through rows that come near one group only.
+
+    A row outside the largest component is compared with all such rows if it can link to one
+    of them: with a core of the other's group at angle d at least, and the group's rows at
+    angles of at most r from their cores, that needs d at most r plus the angle of a link.
+    """
+    far = tagged.where("part >= 0 and not near")
+    held = far.groupBy("part").agg(F.count("*").alias("n"), F.min("close").alias("close")).collect()
+    label = np.array([f"\x01{i}" for i in range(n)], object)
+    for r in comp.where(F.col("vertex").startswith("\x01")).collect():
+        label[int(r.vertex[1:])] = r.component
+    code = np.unique(label.astype(str), return_inverse=True)[1]
+    reach, rows = np.full(n, -np.inf), np.zeros(n, np.int64)
+    for r in held:
+        reach[r.part] = np.arccos(np.clip(r.close, -1, 1)) + np.arccos(np.clip(float(low), -1, 1)) + 1e-3
+        rows[r.part] = r.n
+    held_by = np.bincount(code, weights=rows)
+    if (held_by > 0).sum() < 2:
+        return []
+    largest = int(np.argmax(held_by))
+
+    def can_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, mine = vector_rows(b.column("v"), dim), code[b.column("part").to_numpy()]
+            ok = np.zeros(len(x), bool)
+            for lo in range(0, len(x), 2048):
+                best = np.maximum.reduceat(x[lo : lo + 2048] @ cores.T, first, axis=1)
+                own = mine[lo : lo + 2048]
+                ok[lo : lo + 2048] = (own != largest) & ((np.arccos(np.clip(best, -1, 1)) <= reach) & (code[None, :] != own[:, None])).any(1)
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(keep), b.column("v").filter(keep), pa.array(mine[ok].astype(np.int32))], ["id", "v", "code"])
+
+    asking = materialize(far.select("id", "v", "part").mapInArrow(can_link, "id string, v binary, code int"), "cl-far")
+    blocks = -(-asking.count() // block)
+    found: set[tuple[int, int]] = set()
+    for i in range(blocks):
+        got = asking.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).select("v", "code").orderBy("code").collect()
+        if not got:
+            continue
+        q = np.stack([np.frombuffer(bytes(r.v), np.float32) for r in got])
+        asked, start = np.unique(np.array([r.code for r in got]), return_index=True)
+
+        def meet(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, asked: np.ndarray = asked, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
+            links = np.zeros((int(code.max()) + 1, len(asked)), bool)
+            for b in batches:
+                x, mine = vector_rows(b.column("v"), dim), code[b.column("part").to_numpy()]
+                for lo in range(0, len(x), 512):
+                    at, g = np.nonzero(np.maximum.reduceat(x[lo : lo + 512] @ q.T, start, axis=1) >= low)
+                    links[mine[lo + at], g] = True
+            a, g = np.nonzero(links)
+            ok = a != asked[g]
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok].astype(np.int32)), pa.array(asked[g][ok].astype(np.int32))], ["a", "b"])
+
+        found |= {(min(r.a, r.b), max(r.a, r.b)) for r in far.select("v", "part").mapInArrow(meet, "a int, b int").distinct().collect()}
+    names = {int(c): str(s) for c, s in zip(code, label, strict=True)}
+    return [(names[a], names[b]) for a, b in sorted(found)]
+
+
 def link_clusters(
     vectors: DataFrame,
     min_cosine: float = 0.6,
@@ -268,21 +328,22 @@ def link_clusters(
     ordered = m[starts]
 
     def to_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``part``: the first core group linked (-1: none); ``also``: further ones; ``near``: whether a group comes near without a link."""
+        """``part``: the first core group linked (-1: none), ``close``: its best cosine; ``also``: further ones; ``near``: whether a group comes near without a link."""
         for b in batches:
             x = vector_rows(b.column("v"), dim)
-            own, also, near = np.full(len(x), -1, np.int32), [None] * len(x), np.zeros(len(x), bool)
+            own, also, near, close = np.full(len(x), -1, np.int32), [None] * len(x), np.zeros(len(x), bool), np.zeros(len(x))
             for lo in range(0, len(x), 2048):
                 best = np.maximum.reduceat(x[lo : lo + 2048] @ ordered.T, first, axis=1)
                 linked = best >= low
                 some = linked.any(1)
                 own[lo : lo + 2048][some] = np.argmax(linked[some], 1)
+                close[lo : lo + 2048][some] = best[some, np.argmax(linked[some], 1)]
                 near[lo : lo + 2048] = ~some | ((best >= border) & ~linked).any(1)
                 for r in np.flatnonzero(linked.sum(1) > 1):
                     also[lo + r] = np.flatnonzero(linked[r])[1:].astype(np.int32).tolist()
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(own), pa.array(also, pa.list_(pa.int32())), pa.array(near)], ["id", "v", "part", "also", "near"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(own), pa.array(also, pa.list_(pa.int32())), pa.array(near), pa.array(close)], ["id", "v", "part", "also", "near", "close"])
 
-    tagged = materialize(vectors.mapInArrow(to_cores, "id string, v binary, part int, also array<int>, near boolean"), "cl-tagged")
+    tagged = materialize(vectors.mapInArrow(to_cores, "id string, v binary, part int, also array<int>, near boolean, close double"), "cl-tagged")
     joins = tagged.where("also is not null").select("part", F.explode("also").alias("other")).distinct().collect()  # pairs of core groups
     node = F.when(F.col("part") >= 0, F.concat(F.lit("\x01"), F.col("part").cast("string"))).otherwise(F.col("id"))
     edges = spark.createDataFrame([("\x01" + str(r.part), "\x01" + str(r.other)) for r in joins], "a string, b string")
@@ -318,6 +379,9 @@ def link_clusters(
             found = tagged.select("v", node.alias("node")).mapInArrow(to_all, "a string, b string").where("a != b").distinct()
             edges = edges.unionByName(materialize(found, "cl-links"))
     comp = connected_components(edges)
+    merged = _far_links(tagged, comp, len(names), ordered, first, low, block, dim)
+    if merged:
+        comp = connected_components(edges.unionByName(spark.createDataFrame(merged, "a string, b string")))
     named = tagged.select("id", node.alias("node")).join(comp.withColumnRenamed("vertex", "node"), "node", "left")
     named = materialize(named.select("id", F.coalesce("component", "node").alias("c")), "cl-named")
     sizes = named.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("cluster")).where(F.col("n") >= least)

@@ -68,3 +68,15 @@ def test_text_vectors(spark):
     got = {r.id: np.array(r.vector) for r in clusters.text_vectors(df, "id", "t", 32).collect()}
     assert np.allclose(got["1"], got["2"]) and abs(got["1"] @ got["3"]) < got["1"] @ got["1"]
     assert not got["4"].any() and not got["5"].any()
+
+
+def test_links_of_rows_that_come_near_one_core_only(spark):
+    rng = np.random.default_rng(6)
+    a, b, t = np.eye(16)[0], np.eye(16)[1], np.eye(16)[2]
+    x = np.vstack([a + 0.02 * rng.normal(size=(30, 16)), b + 0.02 * rng.normal(size=(30, 16)), 0.64 * a + 0.768 * t, 0.64 * b + 0.768 * t, -a + 0.02 * rng.normal(size=(9, 16))])
+    df = spark.createDataFrame([(f"i{i:02d}", [float(v) for v in x[i]]) for i in range(len(x))], "id string, v array<float>")
+    vectors = clusters.group_vectors(df.withColumn("p", df.id), "id", "p", "v", 16)
+    want = brute(x, [f"i{i:02d}" for i in range(len(x))], 5, 0.575)
+    assert sorted(want.values()).count("i00") == 62 and len(want) == 71
+    got = {r.id: r.cluster for r in clusters.link_clusters(vectors, 0.575, 5, k=3, core=4, dim=16).collect()}
+    assert got == want
