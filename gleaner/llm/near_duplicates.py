@@ -278,7 +278,7 @@ def similar_sets(
     else:
         zero = F.lit(0)
         banded = banded.select("key", zero.alias("ti"), zero.alias("tj"), zero.alias("tile"), "k1", "size", "sketch")
-    ratio = (1 - threshold) / (1 + threshold)
+    ratio = (1 - threshold) / (1 + threshold) + 1e-9  # rounding must not reject a pair at the threshold; what is too much is verified away
     tiles = banded.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
     near = materialize(tiles.mapInArrow(_pairs_in_buckets(ratio), "a long, b long").distinct(), "nd-candidates")
     # verify on the shingle sets of one text per class that has a candidate

@@ -106,3 +106,13 @@ def test_tiles_apart_in_population_are_skipped():
     assert len(i) == 0
     i, j = nd.compare_tiles((size[0], zero), (size[0], zero), 1 / 3, True)
     assert list(zip(i, j, strict=True)) == [(0, 1)]
+
+
+def test_pairs_at_the_default_threshold(spark):
+    rows = []
+    for p in range(8):  # 9 words each, 8 in common: 8 / 10
+        common = [f"w{p}x{i}" for i in range(8)]
+        rows += [(f"{p}a", f"f{p}a", " ".join([*common, f"only{p}a"])), (f"{p}b", f"f{p}b", " ".join([*common, f"only{p}b"]))]
+    df = spark.createDataFrame(rows, "id string, grp string, text string")
+    got = nd.pairs(*nd.similar_sets(df, "id", "grp", "text", shingle=1, least=5))
+    assert {(r.a, r.b) for r in got.collect()} == {(f"{p}a", f"{p}b") for p in range(8)}
