@@ -55,7 +55,7 @@ def prose(text: str) -> str | None:
 
 
 def bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """``(id, words)`` of English prose: ascending word buckets (4 bytes each), then counts (1 byte each, at most 255)."""
+    """``(id, words)`` of English prose: ascending word buckets (4 bytes each), then counts (4 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,7 +67,7 @@ def bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
                 key = w.doc.astype(np.int64) * BUCKETS + (w.hash % np.uint64(BUCKETS)).astype(np.int64)
                 key, count = np.unique(key, return_counts=True)
                 doc, bucket = key // BUCKETS, (key % BUCKETS).astype(np.int32)
-                count = np.minimum(count, 255).astype(np.uint8)
+                count = count.astype(np.uint32)
                 first = np.searchsorted(doc, np.arange(hi - lo + 1))
                 for i in np.flatnonzero(n >= MIN_WORDS):
                     s = slice(first[i], first[i + 1])
@@ -88,9 +88,9 @@ def _edges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none, none, np.empty(0)
     rows, buckets, counts = [], [], []
     for i, w in enumerate(column.to_pylist()):
-        n = len(w) // 5
+        n = len(w) // 8
         buckets.append(np.frombuffer(w, np.int32, n))
-        counts.append(np.frombuffer(w, np.uint8, n, 4 * n))
+        counts.append(np.frombuffer(w, np.uint32, n, 4 * n))
         rows.append(np.full(n, i, np.int32))
     return np.concatenate(rows), np.concatenate(buckets), np.sqrt(np.concatenate(counts).astype(np.float64))
 

@@ -48,3 +48,11 @@ def test_prose():
     assert rl.prose("# Title\n\n```py\nx = {1: [2]}\n```\n> quoted words\nplain words here") == "plain words here"
     assert rl.prose("int f(int a) { return a[0] == {1}; }") is None
     assert rl.prose("") is None and rl.prose("# only a heading") is None
+
+
+def test_counts_of_long_texts_are_whole(spark):
+    text = "The old dog ran over a hill and saw the small house by the river. " * 700
+    df = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    words = rl.bags(df, "doc_id", "text", "lang").toArrow().column("words").combine_chunks()
+    _, bucket, weight = rl._edges(words)
+    assert len(bucket) == 13 and max(weight) == 2100**0.5 and min(weight) == 700**0.5
