@@ -12,6 +12,7 @@ Python. Memory is in proportion to the longest single text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -58,21 +59,19 @@ def valley_depths(data: bytes, at: np.ndarray, block: int) -> np.ndarray:
     n = len(edges) - 1
     if not words:
         return np.zeros(len(at))
-    word, seg = np.array(words), np.array(seg)
-    order = np.argsort(word, kind="stable")
-    word, seg = word[order], seg[order]
     # similarity at boundary b of the segments [b - block + 1, b] and [b + 1, b + block]; slide both blocks
-    by_seg = np.argsort(seg, kind="stable")
-    starts = np.searchsorted(seg[by_seg], np.arange(n + 1))
-    lists = [word[by_seg[starts[i] : starts[i + 1]]] for i in range(n)]
-    left, right = np.zeros(len(ids)), np.zeros(len(ids))
+    starts = np.searchsorted(np.array(seg), np.arange(n + 1)).tolist()
+    lists = [words[starts[i] : starts[i + 1]] for i in range(n)]
+    left, right = [0] * len(ids), [0] * len(ids)
     for i in range(1, min(block, n - 1) + 1):
-        np.add.at(right, lists[i], 1)
-    np.add.at(left, lists[0], 1)
-    dot, ll, rr = float(left @ right), float(left @ left), float(right @ right)
+        for w in lists[i]:
+            right[w] += 1
+    for w in lists[0]:
+        left[w] += 1
+    dot, ll, rr = (float(sum(x * y for x, y in zip(p, q, strict=True))) for p, q in ((left, right), (left, left), (right, right)))
     score = np.zeros(len(at))
     for b in range(len(at)):
-        score[b] = dot / np.sqrt(ll * rr) if ll > 0 and rr > 0 else 0.0
+        score[b] = dot / math.sqrt(ll * rr) if ll > 0 and rr > 0 else 0.0
         # the next segment b + 1 moves from the right block to the left one
         for w in lists[b + 1]:
             rr += 1 - 2 * right[w]
@@ -92,17 +91,13 @@ def valley_depths(data: bytes, at: np.ndarray, block: int) -> np.ndarray:
                 dot -= right[w]
                 left[w] -= 1
     depth = np.zeros(len(at))
-    for sign in (1, -1):  # climb to the peak on each side
-        s = score[::sign]
-        peak = np.zeros(len(s))
-        for b in range(len(s)):
-            p = s[b]
-            k = b
-            while k > 0 and s[k - 1] >= p:
-                k -= 1
-                p = s[k]
-            peak[b] = p
-        depth += (peak - s)[::sign]
+    for sign in (1, -1):  # climb to the peak on each side: what the boundary before reaches, if the way there does not go down
+        s = score[::sign].tolist()
+        peak = s[:]
+        for b in range(1, len(s)):
+            if s[b - 1] >= s[b]:
+                peak[b] = peak[b - 1]
+        depth += (np.array(peak) - s)[::sign]
     return depth
 
 

@@ -60,3 +60,14 @@ def test_table(spark):
     assert [(c, p) for _, c, p in sorted(by["p"])] == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 0)]
     empty = spark.createDataFrame([], df.schema)
     assert splitting.split_oversized(empty).count() == 0
+
+
+def test_level_similarity_takes_linear_time():
+    """Equal lines keep the similarity level throughout; climbing anew at each boundary would take hours here."""
+    import time
+
+    text = "alpha beta\n" * 180_000
+    began = time.time()
+    pieces = splitting.split(text)
+    assert time.time() - began < 60
+    assert pieces[-1][1] == len(text) and all(a[1] == b[2] for a, b in zip(pieces, pieces[1:], strict=False))
