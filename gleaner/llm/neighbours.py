@@ -5,13 +5,16 @@ so ``K`` centroids a half give ``K * K`` cells. A query walks the centroid pairs
 of summed distance with a heap until the visited cells hold ``candidates`` entries of other
 groups, and the entries are reranked by exact cosine. Cells that lie close together are packed into blocks
 of about ``block`` vectors; a block is the unit that travels to a task, and every entry of
-a visited block is reranked, so the effective candidate list is larger than asked for.
+a visited block is reranked, so the effective candidate list is larger than asked for. With
+``candidates`` of at least the number of rows every block is visited and the answer is exact.
 
 Scale: the only things on the driver are a bounded training sample, the two codebooks, one
-population count per cell (``K`` is capped) and bounded counts of the largest groups. Equal vectors are collapsed before the
-search, blocks of more than twice the target size are split by hash and a query goes to
-every split, and queries stream past the resident block, so neither a hot vector, a hot
-cell nor a hot file meets one task. Work is (rows) x (visited blocks) x (block size).
+population count per cell (``K`` is capped) and bounded counts of the largest groups. The number of blocks
+grows with the rows, without a limit. Nothing but the small table of memberships is stored: vectors
+are read where they are used and move twice, once to collapse equal ones and once to their blocks. A
+block of more than twice the target size is split by hash and visited in all its splits; a block that
+many queries visit is given to several tasks, each with a part of the queries. How many is estimated
+on the sample and only shapes the layout. Work is (rows) x (visited blocks) x (block size).
 """
 
 from __future__ import annotations
@@ -25,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.words import mix
 from gleaner.operators.vector_join import vector_bytes, vector_rows
 from gleaner.runtime import materialize
 
-MAX_BLOCKS = 4096
+#: Groups that one step of packing makes of the cells.
+FANOUT = 32
+#: Centroids of a half at most.
+MAX_WIDTH = 1024
 MAX_SIZES = 100_000
 MAX_COUNTS = 2_000_000
 TIE = 1e-6
@@ -77,7 +84,10 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """Two codebooks, the population of each centroid pair, and the block of each pair."""
+    """Two codebooks, the population of each centroid pair, and the block of each pair.
+
+    A block has ``splits`` of its entries times ``parts`` of its queries as tasks, numbered from ``first``.
+    """
 
     def __init__(self, left: np.ndarray, right: np.ndarray):
         self.left, self.right = left, right
@@ -86,6 +96,7 @@ class MultiIndex:
         self.block: np.ndarray = np.zeros(0, np.int32)
         self.first: np.ndarray = np.zeros(0, np.int64)
         self.splits: np.ndarray = np.zeros(0, np.int64)
+        self.parts: np.ndarray = np.zeros(0, np.int64)
 
     @classmethod
     def fit(cls, sample: np.ndarray, k: int, seed: int) -> MultiIndex:
@@ -98,23 +109,42 @@ class MultiIndex:
         return (a * len(self.right) + b).astype(np.int64)
 
     def pack(self, cell: np.ndarray, count: np.ndarray, block: int, seed: int) -> None:
-        """Group neighbouring cells into blocks; a block beyond twice the target is split."""
+        """Group neighbouring cells into blocks of about ``block`` entries, step by step; a block beyond twice the target is split."""
         width = len(self.right)
         self.population = np.zeros(len(self.left) * width, np.int64)
         self.population[cell] = count
         centre = np.hstack([self.left[cell // width], self.right[cell % width]])
-        n = max(1, min(MAX_BLOCKS, len(cell), math.ceil(count.sum() / block)))
-        groups = _kmeans(centre, n, 12, np.random.default_rng(seed), count)
-        own = np.argmin(_squared(centre, groups), 1)
+        own, blocks, rng = np.zeros(len(cell), np.int32), 0, np.random.default_rng(seed)
+        open_ = [np.arange(len(cell))]
+        while open_:
+            at = open_.pop()
+            wanted = min(len(at), math.ceil(count[at].sum() / block))
+            near = np.zeros(len(at), np.int64)
+            if wanted > 1:
+                near = np.argmin(_squared(centre[at], _kmeans(centre[at], min(FANOUT, wanted), 12, rng, count[at])), 1)
+            if near.max() == 0:  # one group, or cells that no centroid tells apart
+                own[at] = blocks
+                blocks += 1
+            elif wanted <= FANOUT:
+                there = np.unique(near, return_inverse=True)
+                own[at] = blocks + there[1]
+                blocks += len(there[0])
+            else:
+                open_ += [at[near == g] for g in np.unique(near)]
         self.block = np.full(len(self.population), -1, np.int32)
         self.block[cell] = own
-        held = np.bincount(own, weights=count, minlength=len(groups))
+        held = np.bincount(own, weights=count, minlength=blocks)
         self.splits = np.where(held > 2 * block, np.ceil(held / block), 1).astype(np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.splits)])[:-1]
+        self.share(np.ones(blocks, np.int64))
+
+    def share(self, parts: np.ndarray) -> None:
+        """Give the queries of each block to ``parts`` tasks."""
+        self.parts = np.maximum(parts, 1).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.splits * self.parts)])[:-1]
 
     @property
-    def blocks(self) -> int:
-        return int(self.splits.sum())
+    def tasks(self) -> int:
+        return int((self.splits * self.parts).sum())
 
     def visited(self, x: np.ndarray, candidates: int | np.ndarray, population: np.ndarray | None = None) -> list[set[int]]:
         """For each row, the blocks of the nearest centroid pairs that hold ``candidates`` entries, or as many of ``population``."""
@@ -192,32 +222,43 @@ class Own:
         return out
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1, ...``, ``count[i]`` of them, one after the other."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 def _route(index: MultiIndex, own_entries: Own, candidates: int, dim: int):
-    """Each vector once as an entry of its block, and as a query in every block it visits."""
+    """Each vector as an entry of its block, once for each part of the block's queries, and as a query in every block it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vid, cell = b.column("vid").to_numpy(), b.column("cell").to_numpy()
-            sole = b.column("sole").to_numpy()
-            x = vector_rows(b.column("v"), dim)
-            own = index.block[cell]
-            at = index.first[own] + (vid.view(np.uint64) % index.splits[own].astype(np.uint64)).astype(np.int64)
-            rows, blocks, files = [np.arange(len(vid))], [at], [sole]
-            queries = [(i, f) for i, fs in enumerate(b.column("ask").to_pylist()) for f in fs]
-            if queries:
-                who, group = np.array([i for i, _ in queries]), np.array([f for _, f in queries], np.int64)
+            if not b.num_rows:
+                continue
+            vid, sole, x = b.column("vid").to_numpy(), b.column("sole").to_numpy(), vector_rows(b.column("v"), dim)
+            own = index.block[index.cells(x)]
+            split = (vid.view(np.uint64) % index.splits[own].astype(np.uint64)).astype(np.int64)
+            copies = index.parts[own]
+            rows, tasks, files = [np.repeat(np.arange(len(vid)), copies)], [_ranges(index.first[own] + split * copies, copies)], [np.repeat(sole, copies)]
+            entries = len(rows[0])
+            asks = b.column("ask")
+            who = np.repeat(np.arange(len(vid)), np.diff(asks.offsets.to_numpy()))
+            if len(who):
+                group = asks.flatten().to_numpy()
                 seen = own_entries.visited(index, x[who], group, candidates)
-                lists = [np.concatenate([np.empty(0, np.int64), *(np.arange(index.first[k], index.first[k] + index.splits[k]) for k in sorted(s))]) for s in seen]
-                size = np.array([len(s) for s in lists])
-                rows.append(np.repeat(who, size))
-                blocks.append(np.concatenate(lists))
-                files.append(np.repeat(group, size))
+                q = np.repeat(np.arange(len(who)), [len(s) for s in seen])
+                at = np.fromiter((k for s in seen for k in sorted(s)), np.int64, len(q))
+                part = (mix(vid[who[q]].view(np.uint64) ^ group[q].view(np.uint64)) % index.parts[at].astype(np.uint64)).astype(np.int64)
+                n = index.splits[at]
+                q, at, part = np.repeat(q, n), np.repeat(at, n), np.repeat(part, n)
+                rows.append(who[q])
+                tasks.append(index.first[at] + _ranges(np.zeros(len(n), np.int64), n) * index.parts[at] + part)
+                files.append(group[q])
             row = np.concatenate(rows)
             kind = np.ones(len(row), np.int8)
-            kind[: len(vid)] = 0
+            kind[:entries] = 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(blocks).astype(np.int32)), pa.array(kind), pa.array(vid[row]), pa.array(np.concatenate(files)), vector_bytes(x[row])],
-                ["block", "kind", "vid", "fh", "v"],
+                [pa.array(np.concatenate(tasks).astype(np.int32)), pa.array(kind), pa.array(vid[row]), pa.array(np.concatenate(files)), vector_bytes(x[row])],
+                ["task", "kind", "vid", "fh", "v"],
             )
 
     return run
@@ -257,12 +298,12 @@ def _best(q: np.ndarray, qf: np.ndarray, items: np.ndarray, sole: np.ndarray, k:
 
 
 def _search(k: int, floor: float | None, dim: int):
-    """Batches sorted by block with entries first: hold one block's entries, stream its queries past them."""
+    """Batches sorted by task with entries first: hold one task's entries, stream its queries past them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, items = None, [], None
         for b in batches:
-            block, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            block, kind = b.column("task").to_numpy(), b.column("kind").to_numpy()
             vid, fh, x = b.column("vid").to_numpy(), b.column("fh").to_numpy(), vector_rows(b.column("v"), dim)
             change = np.flatnonzero(np.diff(block.astype(np.int64) * 2 + kind)) + 1
             for lo, hi in zip(np.append(0, change), np.append(change, len(block)), strict=True):
@@ -301,7 +342,7 @@ def similar_vectors(
     min_cosine: float | None = None,
     dim: int = 64,
     candidates: int = 4000,
-    block: int = 8192,
+    block: int = 16_384,
     sample: int = 20_000,
     seed: int = 11,
 ) -> DataFrame:
@@ -316,59 +357,60 @@ def similar_vectors(
     count once; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    base = materialize(unit_vectors(df, id_col, group_col, vec_col, dim), "nn-base")
-    members = base.select("vid", "fh", "id").distinct()
-    per_file = members.groupBy("vid", "fh").agg(F.count("*").alias("mf"))
-    total = per_file.groupBy("vid").agg(F.sum("mf").alias("m"), F.count("*").alias("files"), F.min("fh").alias("one"))
-    # a class asks for a file only if it cannot itself answer with k members of other files: at most 2k - 1 files a class
-    ask = (
-        per_file.join(total, "vid")
-        .where(F.col("m") - F.col("mf") < k)
-        .groupBy("vid")
-        .agg(F.collect_list("fh").alias("ask"), F.first("files").alias("files"), F.first("one").alias("one"))
-    )
-    vectors = base.groupBy("vid").agg(F.first("v").alias("v"))
-    units = (
-        vectors.join(total.select("vid", "files", "one"), "vid")
-        .join(ask.select("vid", "ask"), "vid", "left")
-        .select("vid", F.when(F.col("files") == 1, F.col("one")).otherwise(F.lit(0).cast("long")).alias("sole"), F.coalesce("ask", F.array().cast("array<long>")).alias("ask"), "v")
-    )
-    units = materialize(units, "nn-units")
-    n = units.count()
     out = "id string, neighbour string, cosine double, rank int"
-    if n == 0:
+    rows = unit_vectors(df, id_col, group_col, vec_col, dim)
+    n = df.where(F.size(vec_col) == dim).count()
+
+    def fitting(share: int) -> tuple[np.ndarray, np.ndarray]:
+        """Different vectors of a share of the rows, with the group of one row that has them."""
+        drawn = unit_vectors(df.where(F.pmod(F.xxhash64(F.col(vec_col).cast("array<float>"), F.lit(seed)), F.lit(share)) == 0), id_col, group_col, vec_col, dim)
+        drawn = drawn.groupBy("vid").agg(F.min("fh").alias("fh"), F.first("v").alias("v")).orderBy(F.xxhash64("vid", F.lit(seed)), "vid").limit(sample).collect()
+        return np.frombuffer(b"".join(bytes(r.v) for r in drawn), np.float32).reshape(-1, dim), np.array([r.fh for r in drawn], np.int64)
+
+    fitted, groups = fitting(max(1, n // sample))
+    if len(fitted) < 64 and n > sample:  # few different vectors, or an unlucky draw
+        fitted, groups = fitting(1)
+    if not len(fitted):
         return spark.createDataFrame([], out)
-    part = units.select("v").where(F.pmod(F.xxhash64("vid", F.lit(seed)), F.lit(max(1, n // sample))) == 0).limit(sample)
-    fitted = np.frombuffer(b"".join(bytes(r.v) for r in part.collect()), np.float32).reshape(-1, dim)
-    if len(fitted) < 64:
-        fitted = np.frombuffer(b"".join(bytes(r.v) for r in units.select("v").limit(sample).collect()), np.float32).reshape(-1, dim)
-    width = int(np.clip(2 ** round(math.log2(max(2.0, math.sqrt(n / 16)))), 4, 1024))
+    width = int(np.clip(2 ** round(math.log2(max(2.0, math.sqrt(n / 16)))), 4, MAX_WIDTH))
     index = MultiIndex.fit(fitted, min(width, len(fitted)), seed)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell = index.cells(vector_rows(b.column("v"), dim)) if b.num_rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
-
-    placed = units.mapInArrow(place, "vid long, sole long, ask array<long>, v binary, cell long")
-    counts = placed.groupBy("cell").count().toPandas()
-    index.pack(counts["cell"].to_numpy(), counts["count"].to_numpy(), block, seed)
-    own = Own.of(placed, candidates, len(index.population))
-    routed = placed.mapInArrow(_route(index, own, candidates, dim), "block int, kind byte, vid long, fh long, v binary")
-    parts = min(3 * index.blocks, 4000) if index.blocks > 1 else 1
-    routed = routed.repartition(parts, "block").sortWithinPartitions("block", "kind")
-    hits = routed.mapInArrow(_search(k, min_cosine, dim), "qvid long, qfh long, cvid long, cosine float")
+            yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("fh"), b.column("id"), pa.array(cell.astype(np.int32))], ["vid", "fh", "id", "cell"])
+
+    members = materialize(rows.mapInArrow(place, "vid long, fh long, id string, cell int").distinct(), "nn-members")
+    per_file = members.groupBy("vid", "fh").agg(F.count("*").alias("mf"), F.first("cell").alias("cell"))
+    total = per_file.groupBy("vid").agg(F.sum("mf").alias("m"), F.count("*").alias("files"), F.min("fh").alias("one"), F.first("cell").alias("cell"))
+    total = total.select("vid", "m", "files", "cell", F.when(F.col("files") == 1, F.col("one")).otherwise(F.lit(0).cast("long")).alias("sole"))
+    # a class asks for a file only if it cannot itself answer with k members of other files: at most 2k - 1 files a class
+    ask = per_file.join(total.select("vid", "m"), "vid").where(F.col("m") - F.col("mf") < k).groupBy("vid").agg(F.collect_list("fh").alias("ask"))
+    classes = total.select("vid", "sole").join(ask, "vid", "left").select("vid", "sole", F.coalesce("ask", F.array().cast("array<long>")).alias("ask"))
+    counts = total.groupBy("cell").count().toPandas()
+    own = Own.of(total, candidates, len(index.left) * len(index.right))
+    # of several ways to pack the cells the one in which the sample visits the fewest blocks, and as many tasks a block as its visitors need
+    tried, asked, best = fitted[:2048], groups[:2048], None
+    for attempt in range(8):
+        index.pack(counts["cell"].to_numpy(), counts["count"].to_numpy(), block, seed + attempt)
+        seen = own.visited(index, tried, asked, candidates)
+        visits = np.bincount([b for s in seen for b in s], minlength=len(index.splits))
+        cost = float((visits * index.splits).sum())
+        if best is None or cost < best[0]:
+            best = cost, attempt, visits
+    index.pack(counts["cell"].to_numpy(), counts["count"].to_numpy(), block, seed + best[1])
+    index.share(np.ceil(best[2] / len(tried) * counts["count"].sum() / (4 * block)))
+    units = rows.groupBy("vid").agg(F.first("v").alias("v")).join(classes, "vid")
+    routed = units.select("vid", "sole", "ask", "v").mapInArrow(_route(index, own, candidates, dim), "task int, kind byte, vid long, fh long, v binary")
+    routed = routed.repartitionById(index.tasks, F.col("task")).sortWithinPartitions("task", "kind")
+    hits = routed.mapInArrow(_search(k, min_cosine, dim), "qvid long, qfh long, cvid long, cosine float").where("qvid != cvid")
     # classes spread over several files answer themselves, searched for or not
     itself = per_file.join(total.where(F.col("files") > 1).select("vid"), "vid").select(
         F.col("vid").alias("qvid"), F.col("fh").alias("qfh"), F.col("vid").alias("cvid"), F.lit(1.0).cast("float").alias("cosine")
     )
-    best = hits.unionByName(itself).groupBy("qvid", "qfh").agg(F.collect_set(F.struct(F.round(F.col("cosine").cast("double"), 6).alias("c"), "cvid")).alias("all"))
-    kth = F.when(F.size("all") > k, F.element_at(F.sort_array("all", False), k)["c"]).otherwise(F.lit(-2.0))
-    best = (
-        best.withColumn("kth", kth)
-        .select("qvid", "qfh", F.explode(F.filter("all", lambda x: x["c"] >= F.col("kth"))).alias("h"))
-        .select("qvid", "qfh", F.col("h.cvid").alias("cvid"), F.col("h.c").alias("cosine"))
-    )
+    best = hits.unionByName(itself).withColumn("cosine", F.round(F.col("cosine").cast("double"), 6))
+    near = Window.partitionBy("qvid", "qfh").orderBy(F.desc("cosine"))
+    best = best.withColumn("place", F.rank().over(near)).where(F.col("place") <= k).drop("place")  # and what equals the k-th
     if min_cosine is not None:
         best = best.where(F.col("cosine") >= min_cosine)
     few = members.withColumn("r", F.row_number().over(Window.partitionBy("vid", "fh").orderBy("id"))).where(F.col("r") <= k)
