@@ -11,11 +11,13 @@ ordered by the population count of the shingle sets, are compared with numpy exc
 and bit counts; tile pairs whose population counts differ beyond the radius are skipped.
 What passes is verified on the shingle sets themselves, so no reported pair is a guess.
 
-Comparing all tiles with all tiles would be quadratic in the collection. Tiles are
-therefore formed within MinHash bands (``bands`` of ``rows`` values): a pair of texts with
-similarity s shares a band with probability 1 - (1 - s**rows)**bands.
+Comparing all tiles with all tiles is quadratic in the collection: that is the exact way
+(``exact=True``). Otherwise tiles are formed within MinHash bands (``bands`` of ``rows``
+values): a pair of texts with similarity s shares a band with probability
+1 - (1 - s**rows)**bands, and every pair that does is compared.
 
-Scale: exact copies collapse to one class before the bands; a band value that holds many
+Scale: band values travel first, without sketches, and only what shares a band with another
+text goes on. Exact copies collapse to one class before they are compared; a band value that holds many
 classes (found on a deterministic sample, so that only the layout depends on it) is split
 into tile pairs that go to different tasks. Nothing about all texts reaches the driver.
 """
@@ -31,16 +33,18 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.words import ALNUM_, Words, mix, pieces
 from gleaner.operators.graph import connected_components
-from gleaner.runtime import materialize, spread
+from gleaner.runtime import drop_materialized, materialize, spread
 
 SKETCH_BITS = 256
 TILE = 1024
 #: A band value is split if a sample of one class in SAMPLE suggests more than HOT classes.
 SAMPLE, HOT = 32, 4096
+#: Classes in a tile of the exact way.
+EXACT_TILE = 8192
 #: Bytes of each shingle's hash that are kept for verification.
 KEPT = 5
-#: Groups of copies whose pairs number at most this are written out pair by pair.
-EXPAND = 4096
+#: Copies of two linked texts (or of one) are written out pair by pair up to this many pairs.
+EXPAND = 1 << 16
 #: Candidate ids are broadcast up to this many; beyond it they are shuffled.
 BROADCAST_IDS = 200_000
 
@@ -85,60 +89,103 @@ def _sets(texts: list[str], shingle: int, least: int) -> tuple[np.ndarray, np.nd
     return doc, first, h
 
 
-def signatures(df: DataFrame, id_col: str, group_col: str, text_col: str, shingle: int, least: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """``(id, grp, k1, k2, size, sketch, bands)`` of every text with at least ``least`` words.
+def _texts(df: DataFrame, id_col: str, group_col: str, text_col: str) -> DataFrame:
+    cols = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(text_col).cast("string").alias("t"))
+    return spread(cols.where(F.col("id").isNotNull() & F.col("t").isNotNull()))
 
-    Without bands only the first four columns. ``(k1, k2)`` identify the shingle set; null ids, null texts and shorter texts have no row.
-    """
-    rng = np.random.default_rng(seed)
-    odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+def class_keys(texts: DataFrame, shingle: int, least: int) -> DataFrame:
+    """``(id, grp, k1, k2)`` of every text ``(id, grp, t)`` with at least ``least`` words; ``(k1, k2)`` identify its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
+            texts = b.column("t").to_pylist()
             for lo, hi in pieces(texts):
                 doc, first, h = _sets(texts[lo:hi], shingle, least)
+                if len(first):
+                    k1, k2 = _set_keys(first, h)
+                    take = pa.array(doc[first] + lo)
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("grp").take(take), pa.array(k1), pa.array(k2)], ["id", "grp", "k1", "k2"])
+
+    return texts.mapInArrow(run, "id string, grp string, k1 long, k2 long")
+
+
+def _set_keys(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k1 = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), first)
+    k2 = np.add.reduceat(mix(h ^ np.uint64(0x14057B7EF767814F)), first)
+    return k1.view(np.int64), k2.view(np.int64)
+
+
+def _fresh(seen: set[int], k1: np.ndarray) -> np.ndarray:
+    """Positions of the values that this task has not met before."""
+    at = [i for i, k in enumerate(k1.tolist()) if not (k in seen or seen.add(k))]
+    return np.array(at, np.int64)
+
+
+def sketches(texts: DataFrame, shingle: int, least: int) -> DataFrame:
+    """``(k1, size, sketch)``; a class has at most one row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            texts = b.column("t").to_pylist()
+            for lo, hi in pieces(texts):
+                _, first, h = _sets(texts[lo:hi], shingle, least)
                 if not len(first):
                     continue
-                own = doc[first]
-                size = np.diff(np.append(first, len(h)))
-                k1 = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), first)
-                k2 = np.add.reduceat(mix(h ^ np.uint64(0x14057B7EF767814F)), first)
-                take = pa.array(own + lo)
-                if not bands:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["id", "grp", "k1", "k2"])
-                    continue
-                at = np.repeat(np.arange(len(own)), size)
-                flips = np.bincount(at * SKETCH_BITS + (h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=len(own) * SKETCH_BITS)
-                sketch = np.packbits((flips & 1).astype(np.uint8).reshape(len(own), SKETCH_BITS), axis=1)
-                keys = np.zeros((len(own), bands), np.uint64)
-                for i, a in enumerate(odd):
-                    low = np.minimum.reduceat((h * a) >> np.uint64(32), first)
-                    keys[:, i // rows] = mix(keys[:, i // rows] + low + np.uint64(i + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int32)), _fixed(sketch), _fixed(keys)],
-                    ["id", "grp", "k1", "k2", "size", "sketch", "bands"],
-                )
+                k1, size = _set_keys(first, h)[0], np.diff(np.append(first, len(h)))
+                at = np.repeat(np.arange(len(first)), size)
+                flips = np.bincount(at * SKETCH_BITS + (h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=len(first) * SKETCH_BITS)
+                sketch = np.packbits((flips & 1).astype(np.uint8).reshape(len(first), SKETCH_BITS), axis=1)
+                new = _fresh(seen, k1)
+                yield pa.RecordBatch.from_arrays([pa.array(k1[new]), pa.array(size[new].astype(np.int32)), _fixed(sketch[new])], ["k1", "size", "sketch"])
 
-    cols = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(text_col).cast("string").alias("t"))
-    cols = cols.where(F.col("id").isNotNull() & F.col("t").isNotNull())
-    return spread(cols).mapInArrow(run, "id string, grp string, k1 long, k2 long" + (f", size int, sketch {_BIN}, bands {_BIN}" if bands else ""))
+    return texts.mapInArrow(run, f"k1 long, size int, sketch {_BIN}")
 
 
-def _explode_bands(bands: int):
+def band_keys(texts: DataFrame, shingle: int, least: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """``(key, k1)``: the ``bands`` band values of each class, at most once a task."""
+    rng = np.random.default_rng(seed)
+    odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            keys = _unfixed(b.column("bands"), bands * 8).view(np.int64).reshape(-1)
-            row = np.repeat(np.arange(n), bands)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(b.column("k1").to_numpy()[row]), pa.array(b.column("size").to_numpy()[row]), _fixed(_unfixed(b.column("sketch"), SKETCH_BITS // 8)[row])],
-                ["key", "k1", "size", "sketch"],
-            )
-
-    return run
+            texts = b.column("t").to_pylist()
+            for lo, hi in pieces(texts):
+                _, first, h = _sets(texts[lo:hi], shingle, least)
+                if not len(first):
+                    continue
+                k1 = _set_keys(first, h)[0]
+                keys = np.zeros((len(first), bands), np.uint64)
+                for i, a in enumerate(odd):
+                    low = np.minimum.reduceat((h * a) >> np.uint64(32), first)
+                    keys[:, i // rows] = mix(keys[:, i // rows] + low + np.uint64(i + 1))
+                new = _fresh(seen, k1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64).reshape(-1)), pa.array(np.repeat(k1[new], bands))], ["key", "k1"])
+
+    return texts.mapInArrow(run, "key long, k1 long")
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(key, k1)`` in that order: distinct ones whose key several classes have."""
+    last: tuple[int, int] | None = None  # the row that may be the first of its key
+    told = False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, k1 = b.column("key").to_numpy(), b.column("k1").to_numpy()
+        if last is not None:
+            key, k1 = np.append(last[0], key), np.append(last[1], k1)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (k1[1:] != k1[:-1])
+        key, k1 = key[new], k1[new]
+        same = key[1:] == key[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        if told:
+            keep[0] = False
+        last, told = (int(key[-1]), int(k1[-1])), bool((keep[-1] and len(key) > 1) or (told and len(key) == 1))
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(k1[keep])], ["key", "k1"])
 
 
 def compare_tiles(a: tuple, b: tuple, ratio: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +284,47 @@ def _pairs_in_buckets(ratio: float):
     return run
 
 
+def _band_tiles(banded: DataFrame, sampled: DataFrame, drawn: DataFrame) -> DataFrame:
+    """``(key, ti, tj, tile, k1, size, sketch)``: classes that share a band value, large ones split into pairs of tiles."""
+    hot = sampled.distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > HOT)
+    hot = materialize(hot.select("key", F.ceil(F.col("n") * SAMPLE / (HOT // 2)).cast("int").alias("parts")), "nd-hot")
+    n_hot = hot.count()
+    zero = F.lit(0)
+    if n_hot:
+        pick = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+        split = banded.join(pick, "key").distinct()
+        banded = banded.join(pick, "key", "left_anti")
+        tile = F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int")
+        split = split.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        split = split.select("key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "k1")
+    several = banded.repartition("key").sortWithinPartitions("key", "k1").mapInArrow(_shared_keys, "key long, k1 long")
+    several = several.select("key", zero.alias("ti"), zero.alias("tj"), zero.alias("tile"), "k1")
+    if n_hot:
+        several = several.unionByName(split)
+    return several.join(drawn, "k1").select("key", "ti", "tj", "tile", "k1", "size", "sketch")
+
+
+def _all_tiles(drawn: DataFrame, ratio: float) -> DataFrame:
+    """The same for all classes in order of size: every pair of tiles whose sizes do not exclude a link."""
+    counts = drawn.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").toPandas()  # one row per size
+    size, n = counts["size"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    if not len(size):
+        return drawn.select(*(F.lit(0).cast(t).alias(c) for c, t in (("key", "long"), ("ti", "int"), ("tj", "int"), ("tile", "int"))), "k1", "size", "sketch")
+    done = np.cumsum(n) - n
+    low, high = done // EXACT_TILE, (done + n - 1) // EXACT_TILE  # tiles that hold classes of each size
+    tiles = int(high[-1]) + 1
+    smallest, largest = size[np.searchsorted(high, np.arange(tiles), "left")], size[np.searchsorted(low, np.arange(tiles), "right") - 1]
+    # |A| and |B| differ by at least the radius beyond this reach
+    least = np.searchsorted(largest, (1 - ratio) / (1 + ratio) * smallest - 1e-6, "left")
+    most = np.searchsorted(smallest, (1 + ratio) / (1 - ratio) * largest + 1e-6, "right") - 1 if ratio < 1 else np.full(tiles, tiles - 1)
+    spark = drawn.sparkSession
+    placed = spark.createDataFrame([(int(s), int(d), int(c)) for s, d, c in zip(size, done, n, strict=True)], "size int, done long, n long")
+    reach = spark.createDataFrame([(t, int(least[t]), int(most[t])) for t in range(tiles)], "tile int, lo int, hi int")
+    rows = drawn.join(placed, "size").withColumn("tile", F.floor((F.col("done") + F.pmod(F.xxhash64("k1"), F.col("n"))) / EXACT_TILE).cast("int")).join(reach, "tile")
+    rows = rows.withColumn("other", F.explode(F.sequence("lo", "hi")))
+    return rows.select(F.lit(0).cast("long").alias("key"), F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "k1", "size", "sketch")
+
+
 def similar_sets(
     df: DataFrame,
     id_col: str,
@@ -248,45 +336,36 @@ def similar_sets(
     bands: int = 28,
     rows: int = 3,
     seed: int = 7,
+    exact: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, and the pairs of classes with Jaccard ``threshold`` or more.
 
     Returns ``members (k1, k2, id, grp, shared)``, one row per id (``shared``: whether its class
-    has other members or links), and ``links (a1, a2, b1, b2, jaccard)``.
+    has other members or links), and ``links (a1, a2, b1, b2, jaccard)``. ``exact`` compares all
+    tiles instead of those within bands, which misses nothing and takes quadratic time.
     Null ids, null texts and texts of fewer than ``least`` words take no part; repeated rows of
     an id count once; a null group is a group of its own. An empty table gives empty results.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    spark = df.sparkSession
-    # signatures are computed where they are used: storing them would cost more disk than hashing costs time
-    sigs = signatures(df, id_col, group_col, text_col, shingle, least, bands, rows, seed)
-    ids_of = signatures(df, id_col, group_col, text_col, shingle, least, 0, rows, seed)
-    members = materialize(ids_of.select("k1", "k2", "id", "grp").distinct(), "nd-ids")
-    classes = sigs.groupBy("k1", "k2").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    banded = classes.mapInArrow(_explode_bands(bands), f"key long, k1 long, size int, sketch {_BIN}")
-    part = df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(SAMPLE)) == 0)
-    seen = signatures(part, id_col, group_col, text_col, shingle, least, bands, rows, seed).dropDuplicates(["k1", "k2"]).mapInArrow(_explode_bands(bands), f"key long, k1 long, size int, sketch {_BIN}")
-    hot = seen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > HOT)
-    hot = materialize(hot.select("key", F.ceil(F.col("n") * SAMPLE / (HOT // 2)).cast("int").alias("parts")), "nd-hot")
-    n_hot = hot.count()
-    if n_hot:
-        banded = banded.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        tile = F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int")
-        banded = banded.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        banded = banded.select("key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "k1", "size", "sketch")
-    else:
-        zero = F.lit(0)
-        banded = banded.select("key", zero.alias("ti"), zero.alias("tj"), zero.alias("tile"), "k1", "size", "sketch")
+    # shingles are computed where they are used: storing them would cost more disk than hashing costs time
+    texts = _texts(df, id_col, group_col, text_col)
+    members = ids = materialize(class_keys(texts, shingle, least).select("k1", "k2", "id", "grp").distinct(), "nd-ids")
     ratio = (1 - threshold) / (1 + threshold) + 1e-9  # rounding must not reject a pair at the threshold; what is too much is verified away
-    tiles = banded.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
+    drawn = sketches(texts, shingle, least).groupBy("k1").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    if exact:
+        tiles = _all_tiles(materialize(drawn, "nd-sketches"), ratio)
+    else:
+        some = _texts(df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(SAMPLE)) == 0), id_col, group_col, text_col)
+        tiles = _band_tiles(band_keys(texts, shingle, least, bands, rows, seed), band_keys(some, shingle, least, bands, rows, seed), drawn)
+    tiles = tiles.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
     near = materialize(tiles.mapInArrow(_pairs_in_buckets(ratio), "a long, b long").distinct(), "nd-candidates")
     # verify on the shingle sets of one text per class that has a candidate
-    ids = near.select(F.col("a").alias("k1")).unionByName(near.select(F.col("b").alias("k1"))).distinct()
+    paired = near.select(F.col("a").alias("k1")).unionByName(near.select(F.col("b").alias("k1"))).distinct()
     reps = members.groupBy("k1", "k2").agg(F.min("id").alias("id"))
-    wanted = materialize(reps.join(ids, "k1", "left_semi").select("k1", "k2", F.col("id").alias("_id")), "nd-wanted")
+    wanted = materialize(reps.join(paired, "k1", "left_semi").select("k1", "k2", F.col("id").alias("_id")), "nd-wanted")
     pick = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull()).join(pick, "_id")
+    whole = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.col("_t").isNotNull()).join(pick, "_id")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,7 +379,7 @@ def similar_sets(
                     sets = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
                     yield pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), sets], ["k1", "k2", "s"])
 
-    sets = texts.select("k1", "k2", "_t").mapInArrow(shingled, f"k1 long, k2 long, s {_BIN}").dropDuplicates(["k1", "k2"])
+    sets = whole.select("k1", "k2", "_t").mapInArrow(shingled, f"k1 long, k2 long, s {_BIN}").dropDuplicates(["k1", "k2"])
     sets = materialize(sets, "nd-sets")
     left = sets.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("s").alias("sa"))
     right = sets.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("s").alias("sb"))
@@ -318,21 +397,26 @@ def similar_sets(
     checked = near.join(left, "a").join(right, "b").select("a", "a2", "b", "b2", "sa", "sb")
     links = checked.mapInArrow(jaccard, "a1 long, a2 long, b1 long, b2 long, jaccard double").where(F.col("jaccard") >= threshold)
     links = materialize(links, "nd-links")
+    for done in (near, wanted, sets):
+        drop_materialized(done)
     # few classes have copies or links: mark their members once, so that nothing later touches the rest
     ends = links.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(links.select(F.col("b1").alias("k1"), F.col("b2").alias("k2")))
     several = members.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("k1", "k2")
     shared = ends.unionByName(several).distinct().withColumn("shared", F.lit(True))
     members = members.join(shared, ["k1", "k2"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
-    return materialize(members, "nd-members"), links
+    marked = materialize(members, "nd-members")
+    drop_materialized(ids)
+    return marked, links
 
 
 def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of ids of different groups that the classes and links stand for.
 
-    A group of copies is written out pair by pair while that makes at most ``EXPAND`` pairs.
-    A larger one is given as a star, which says the same as copies are all alike: each member
-    is paired with a representative of another group, and a link between classes pairs only
-    the representatives.
+    Copies of a text, and copies of two linked texts, are written out pair by pair while that
+    makes at most ``EXPAND`` pairs. Beyond, a pair of representatives stands for the link, and each copy is
+    paired once: with a representative of another group in its class or, if the class lies in
+    one group, with one of a linked class. So every id that has a partner has a row, no link between different
+    texts is lost, and with the classes that :func:`groups` names all pairs follow.
     """
     members = materialize(members.where("shared").drop("shared"), "nd-shared")
     count = members.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("id", "grp")).alias("r1"))
@@ -344,12 +428,13 @@ def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     )
     count = count.join(other, ["k1", "k2"], "left")
     differ = ~F.col("ga").eqNullSafe(F.col("gb"))
+    within_reach = F.col("n") * F.col("n") <= EXPAND
     sized = members.join(count.where(F.col("r2").isNotNull()), ["k1", "k2"])
-    small = sized.where(F.col("n") * F.col("n") <= EXPAND)
+    small = sized.where(within_reach)
     one = small.select("k1", "k2", F.col("id").alias("x"), F.col("grp").alias("ga"))
     two = small.select("k1", "k2", F.col("id").alias("y"), F.col("grp").alias("gb"))
     within = one.join(two, ["k1", "k2"]).where((F.col("x") < F.col("y")) & differ).select("x", "y")
-    large = sized.where(F.col("n") * F.col("n") > EXPAND)
+    large = sized.where(~within_reach)
     star = large.select(F.col("id").alias("y"), F.when(F.col("grp").eqNullSafe(F.col("r1.grp")), F.col("r2.id")).otherwise(F.col("r1.id")).alias("x"))
     na = count.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("n").alias("na"), F.col("r1").alias("ra"), F.col("r2").alias("ra2"))
     nb = count.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("nb"), F.col("r1").alias("rb"), F.col("r2").alias("rb2"))
@@ -358,30 +443,33 @@ def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     ma = members.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("id").alias("x"), F.col("grp").alias("ga"))
     mb = members.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("id").alias("y"), F.col("grp").alias("gb"))
     across = few.select("a1", "a2", "b1", "b2").join(ma, ["a1", "a2"]).join(mb, ["b1", "b2"]).where(differ).select("x", "y")
-    reps = (
-        many.select(F.explode(F.array("ra", "ra2")).alias("p"), "rb", "rb2")
-        .select("p", F.explode(F.array("rb", "rb2")).alias("q"))
-        .where(F.col("p").isNotNull() & F.col("q").isNotNull() & ~F.col("p.grp").eqNullSafe(F.col("q.grp")))
-        .select(F.col("p.id").alias("x"), F.col("q.id").alias("y"))
-    )
-    every = within.unionByName(star.select("x", "y")).unionByName(across).unionByName(reps)
+    both = many.select(F.explode(F.array("ra", "ra2")).alias("p"), "a1", "a2", "ra2", "b1", "b2", "rb", "rb2")
+    both = both.select("p", F.explode(F.array("rb", "rb2")).alias("q"), "a1", "a2", "ra2", "b1", "b2", "rb2")
+    both = both.where(F.col("p").isNotNull() & F.col("q").isNotNull() & ~F.col("p.grp").eqNullSafe(F.col("q.grp")))
+    reps = both.select(F.col("p.id").alias("x"), F.col("q.id").alias("y"))
+    # copies that all lie in one group: each with one representative of one linked class of another group
+    sides = both.where("ra2 is null").select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.col("q.id").alias("x"))
+    sides = sides.unionByName(both.where("rb2 is null").select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.col("p.id").alias("x")))
+    attached = members.join(sides.groupBy("k1", "k2").agg(F.min("x").alias("x")), ["k1", "k2"]).select("x", F.col("id").alias("y"))
+    every = within.unionByName(star.select("x", "y")).unionByName(across).unionByName(reps).unionByName(attached)
     return every.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per id: ``(id, grp, group_id, links)``, texts joined through links directly or through others.
+    """One row per id: ``(id, grp, group_id, class_id, links)``, texts joined through links directly or through others.
 
-    ``group_id`` is the smallest id of the group; ``links`` counts the other classes that the
+    ``group_id`` is the smallest id of the group, ``class_id`` the smallest of those with the same
+    set of shingles; ``links`` counts the other classes that the
     id's class is linked to. Ids without a partner form a group of their own.
     """
     key = lambda a, b: F.concat_ws(":", F.col(a), F.col(b))
-    alone = members.where(~F.col("shared")).select("id", "grp", F.col("id").alias("group_id"), F.lit(0).cast("long").alias("links"))
+    alone = members.where(~F.col("shared")).select("id", "grp", F.col("id").alias("group_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links"))
     members = members.where("shared").withColumn("c", key("k1", "k2"))
     edges = links.select(key("a1", "a2").alias("a"), key("b1", "b2").alias("b"))
     comp = connected_components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("links"))
-    named = members.join(comp.withColumnRenamed("vertex", "c"), "c", "left").join(degree, "c", "left")
-    named = named.withColumn("component", F.coalesce("component", "c"))
-    named = materialize(named.select("id", "grp", "component", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "nd-named")
-    first = named.groupBy("component").agg(F.min("id").alias("group_id"))
-    return named.join(first, "component").select("id", "grp", "group_id", "links").unionByName(alone)
+    classes = members.groupBy("c").agg(F.min("id").alias("class_id")).join(comp.withColumnRenamed("vertex", "c"), "c", "left").join(degree, "c", "left")
+    classes = materialize(classes.select("c", "class_id", F.coalesce("component", "c").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "nd-classes")
+    first = classes.groupBy("component").agg(F.min("class_id").alias("group_id"))
+    named = members.join(classes.join(first, "component"), "c")
+    return named.select("id", "grp", "group_id", "class_id", "links").unionByName(alone)

@@ -67,7 +67,41 @@ def test_empty(spark):
     assert nd.pairs(members, links).count() == 0 and nd.groups(members, links).count() == 0
 
 
-def test_large_group_of_copies_is_a_star(spark):
+def test_exact_way_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nd, "EXACT_TILE", 16)
+    rows = corpus()
+    got = {(r.a, r.b) for r in nd.pairs(*run(spark, rows, exact=True)).collect()}
+    sets, group = {r[0]: shingles(r[2], 3) for r in rows}, {r[0]: r[1] for r in rows}
+    assert got == {tuple(sorted(p)) for p in combinations(sets, 2) if group[p[0]] != group[p[1]] and jaccard(sets[p[0]], sets[p[1]]) >= 0.5}
+
+
+def test_copies_of_one_file_keep_their_pairs(spark, monkeypatch):
+    """Copies within one file and an edited copy in another: each copy is paired with it, whatever their number."""
+    base = " ".join(f"x{i}" for i in range(30))
+    rows = [(f"i{k:04d}", "f", base) for k in range(150)] + [("z", "g", base.replace("x15", "y"))]
+    want = {(f"i{k:04d}", "z") for k in range(150)}
+    assert {(r.a, r.b) for r in nd.pairs(*run(spark, rows)).collect()} == want
+    monkeypatch.setattr(nd, "EXPAND", 100)
+    assert {(r.a, r.b) for r in nd.pairs(*run(spark, rows)).collect()} == want
+    members = nd.groups(*run(spark, rows)).collect()
+    assert {r.class_id for r in members if r.grp == "f"} == {"i0000"} and len({r.group_id for r in members}) == 1
+
+
+def test_shared_keys_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = sorted((int(k), int(v)) for k, v in zip(rng.integers(0, 60, 300), rng.integers(0, 3, 300) * 1000 + rng.integers(0, 2, 300), strict=True) if k % 3 or v < 1000)
+    rows = sorted(rows + [(100, 1), (100, 1), (100, 1), (101, 5), (102, 1), (102, 2)])
+    want = sorted({r for r in rows if len({v for k, v in rows if k == r[0]}) > 1})
+    for size in (1, 2, 7, 1000):
+        parts = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]]), pa.array([v for _, v in rows[i : i + size]])], ["key", "k1"]) for i in range(0, len(rows), size)]
+        got = [(k, v) for b in nd._shared_keys(iter(parts)) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert got == want
+
+
+def test_large_group_of_copies_is_a_star(spark, monkeypatch):
+    monkeypatch.setattr(nd, "EXPAND", 4096)
     base = " ".join(f"x{i}" for i in range(30))
     rows = [(f"i{k:04d}", f"f{k % 50}", base) for k in range(100)]
     got = {(r.a, r.b) for r in nd.pairs(*run(spark, rows)).collect()}
