@@ -5,8 +5,12 @@ limit for each. The dot-product heuristic fills one container after another: of
 that still fit in every dimension it takes the one whose sizes, weighted by how scarce each
 dimension is overall, have the largest dot product with the capacity that is left.
 
+An item that alone bears more loss than the limit counts as the limit there: it is not split for it, and
+shares a container only with items that bear none.
+
 Scale: sizes are counted where the texts lie; only the sizes are shuffled, into groups of
-about ``group`` items by a hash of the id, and each group is packed on its own. A group
+about ``group`` items by a hash of the id, and each group is packed on its own in order of id, so the
+outcome depends on neither cores nor batches. A group
 leaves at most a few containers part full, so the unused share does not grow with the data.
 Full containers that an item larger than the capacity is split into need no packing.
 """
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 from gleaner.runtime import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CAPACITY, MAX_SEGMENTS = 2048, 128
+#: Limits of a container: tokens, segments and loss-bearing tokens.
+CAPACITY, MAX_SEGMENTS, MAX_LOSS = 2048, 16, 1984
 #: Splits text into words, numbers, signs and white space before byte pairs are merged (fixed value of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _TURN = re.compile(r"(?m)^(user|assistant|system):")
@@ -115,15 +120,15 @@ def fill_containers(
     vocabulary: str = VOCABULARY,
     capacity: int = CAPACITY,
     max_segments: int = MAX_SEGMENTS,
-    max_loss: int | None = None,
+    max_loss: int | None = MAX_LOSS,
     group: int = 8192,
 ) -> DataFrame:
     """Every text in a container: ``(doc_id, piece, token_start, token_end, tokens, loss_tokens, container)``.
 
-    A text within the limits is one piece; a larger one is cut as seldom as they allow, and
-    pieces that do not fill a container are packed with others. No container holds more than
-    ``capacity`` tokens, ``max_segments`` pieces or ``max_loss`` (default: ``capacity``)
-    loss-bearing tokens. Loss-bearing tokens of a cut text are shared out in proportion.
+    A text of at most ``capacity`` tokens is one piece; a larger one is cut into full containers
+    and a rest that is packed with others. No container holds more than
+    ``capacity`` tokens or ``max_segments`` pieces, nor more than ``max_loss`` (null: no limit)
+    loss-bearing tokens unless a single piece brings them. Loss-bearing tokens of a cut text are shared out in proportion.
 
     Null ids or texts have no row; an empty text takes a segment and no tokens; of repeated
     rows of an id the longest is taken; an empty table gives an empty result.
@@ -131,46 +136,57 @@ def fill_containers(
     max_loss = capacity if max_loss is None else max_loss
     if capacity < 1 or max_segments < 1 or max_loss < 1:
         raise ValueError("capacity, max_segments and max_loss must be positive")
-    # sizes are small however costly they are to pack: keep them on all cores
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    sized = token_sizes(df, id_col, text_col, vocabulary).repartition(cores, "id").groupBy("id").agg(F.max(F.struct("tokens", "loss")).alias("s"))
+    groups = max(1, -(-df.where(F.col(id_col).isNotNull()).count() // group))
+    sized = token_sizes(df, id_col, text_col, vocabulary).groupBy("id").agg(F.max(F.struct("tokens", "loss")).alias("s"))
+    sized = sized.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "s.tokens", "s.loss")
     limits = np.array([capacity, max_segments, max_loss])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        count = serial = 0
+        held: list[tuple[np.ndarray, ...]] = []
+        current: int | None = None
 
         def flush() -> pa.RecordBatch:
-            nonlocal serial
             ids, tokens, loss = (np.concatenate(x) for x in zip(*held, strict=True))
-            # a piece is as long as both limits allow; one less for rounding where loss binds
-            step = np.where(loss * capacity <= max_loss * tokens, capacity, np.maximum(1, (max_loss - 1) * tokens // np.maximum(loss, 1)))
-            whole = np.maximum(-(-tokens // step) - 1, 0)  # the last piece is packed as a rest, even if it is full
+            held.clear()
+            whole = np.maximum(-(-tokens // capacity) - 1, 0)  # the last piece is packed as a rest, even if it is full
             row = np.repeat(np.arange(len(ids)), whole + 1)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(whole + 1) - whole - 1, whole + 1)
-            start = piece * step[row]
-            end = np.minimum(start + step[row], tokens[row])
+            start = piece * capacity
+            end = np.minimum(start + capacity, tokens[row])
             size = end - start
             total = np.maximum(tokens[row], 1)
             share = loss[row] * end // total - loss[row] * start // total
-            rest = (piece == whole[row]) | (size < capacity)  # only pieces that fill a container need no packing
+            rest = piece == whole[row]
             box = np.empty(len(row), object)
             box[~rest] = [f"{ids[r]}.{p}" for r, p in zip(row[~rest], piece[~rest], strict=True)]
-            sizes = np.stack([size[rest], np.ones(rest.sum(), np.int64), share[rest]], 1)
-            name = f"{ids.min()}-{serial}-"
-            box[rest] = [name + str(k) for k in pack(sizes, limits)]
-            serial += 1
-            held.clear()
+            sizes = np.stack([size[rest], np.ones(rest.sum(), np.int64), np.minimum(share[rest], max_loss)], 1)
+            box[rest] = [f"{current}-{k}" for k in pack(sizes, limits)]
             cols = [pa.array(ids[row]), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end), pa.array(size.astype(np.int32)), pa.array(share.astype(np.int32)), pa.array(box, pa.string())]
             return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in PLACED.split(", ")])
 
         for b in batches:
-            held.append(tuple(b.column(c).to_numpy().copy() for c in ("id", "tokens", "loss")))
-            count += b.num_rows
-            if count >= group:
-                yield flush()
-                count = 0
-        if held and count:
+            g = b.column("g").to_numpy()
+            edges = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else []
+            for lo, hi in zip(edges, [*edges[1:], len(g)], strict=True):
+                if held and g[lo] != current:
+                    yield flush()
+                current = int(g[lo])
+                held.append(tuple(b.column(c).to_numpy()[lo:hi].copy() for c in ("id", "tokens", "loss")))
+        if held:
             yield flush()
 
-    return sized.select("id", "s.tokens", "s.loss").mapInArrow(run, PLACED)
+    return sized.repartitionById(groups, F.col("g")).sortWithinPartitions("g", "id").mapInArrow(run, PLACED)
+
+
+def utilisation(placed: DataFrame, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS) -> DataFrame:
+    """One row: containers, their tokens, the share of the capacity in use, the fullest container in each dimension, and how many containers reach each limit.
+
+    A limit counts as reached within 1 % of it. No rows give zeros and nulls.
+    """
+    boxes = placed.groupBy("container").agg(F.sum("tokens").alias("t"), F.count("*").alias("s"), F.sum("loss_tokens").alias("l"))
+    full = lambda c, limit: F.coalesce(F.sum((F.col(c) >= 0.99 * limit).cast("long")), F.lit(0))
+    return boxes.agg(
+        F.count("*").alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.round(F.sum("t") / (F.count("*") * capacity), 6).alias("used"),
+        F.max("t").alias("most_tokens"), F.max("s").alias("most_segments"), F.max("l").alias("most_loss"),
+        full("t", capacity).alias("full_of_tokens"), full("s", max_segments).alias("full_of_segments"), full("l", max_loss).alias("full_of_loss"),
+    )
