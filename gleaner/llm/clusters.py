@@ -9,13 +9,14 @@ that send one partial sum per centroid.
 Where clusters are defined by links (cosine of at least ``min_cosine``, directly or through
 others) the centroids serve as the index: the members nearest each centroid are its core,
 rows are linked to cores, rows that link two cores join them, and the rows that no core
-explains, or that come near a second one, are compared with all rows, block by block. Then
+explains, or that come near a second one, are compared with all rows, tile by tile. Then
 the linked rows outside the largest cluster are compared with those of other clusters, unless
-the angles to the cores exclude any link, so no link is lost and ``border`` only decides how
-much is left for that step.
+the angles to the cores exclude any link. So no link is lost: the result is that of comparing all
+pairs, and ``k``, ``core`` and ``border`` only decide how much is left for these two steps.
 
-Scale: on the driver are only centroids, cores (``k * core`` rows), pairs of core groups and one block of
-at most ``block`` rows at a time. Sums are pre-aggregated, so a hot file costs nothing.
+Scale: on the driver are only centroids, cores (``k * core`` rows, ``k`` growing with the square root of the
+rows up to ``MAX_K``) and pairs of core groups. The comparisons are tiles that go to tasks, each of which
+returns a spanning forest of the links it finds. Sums are pre-aggregated, so a hot file costs nothing.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ from gleaner.operators.vector_join import vector_bytes, vector_rows
 from gleaner.runtime import materialize
 
 
+#: Centroids that serve as the index, at least and at most.
+MIN_K, MAX_K = 64, 1024
+
+
 def _doubles(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * np.int32(m.shape[1])), pa.array(np.ascontiguousarray(m, np.float64).reshape(-1)))
 
@@ -221,6 +226,34 @@ def typical(assigned: DataFrame, cell: str, n: int) -> DataFrame:
     return assigned.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
+def text_topics(df: DataFrame, id_col: str, text_col: str, k: int | None = None, dim: int = 64, members: int = 5, seed: int = 5) -> DataFrame:
+    """``(topic, size, cohesion, typical)``: k-means on hashed weighted features of texts.
+
+    Per topic its number of rows, their mean cosine with the centroid and the ids of the ``members``
+    nearest to it, nearest first, ties by the smaller id. Repeated ids count once; null ids and
+    texts without words have no direction and belong to no topic; an empty table gives no rows.
+    """
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t"))
+    found = text_vectors(rows.groupBy("id").agg(F.min("t").alias("t")), "id", "t", dim)
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.column("vector").flatten().to_numpy().reshape(b.num_rows, dim)
+            norm = np.sqrt((m * m).sum(1))
+            ok = norm > 0
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(ok)), vector_bytes(m[ok] / norm[ok][:, None])], ["id", "v"])
+
+    vectors = materialize(found.mapInArrow(scale, "id string, v binary"), "ct-vectors")
+    n = vectors.count()
+    centres = kmeans(vectors, k or int(np.clip(np.sqrt(n) / 4, MIN_K, MAX_K)), dim, seed=seed)
+    if not len(centres):
+        return df.sparkSession.createDataFrame([], "topic int, size long, cohesion double, typical array<string>")
+    placed = materialize(assign(vectors, centres, dim).select("id", "cell", F.round("near", 6).alias("near")), "ct-assigned")
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("size"), F.round(F.avg("near"), 6).alias("cohesion"))
+    top = typical(placed, "cell", members).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("t"))
+    return sizes.join(top, "cell").select(F.col("cell").alias("topic"), "size", "cohesion", F.col("t.id").alias("typical"))
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest reachable node of each of ``n`` nodes under the edges ``a - b``."""
     root = np.arange(n)
@@ -237,7 +270,80 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _far_links(tagged: DataFrame, comp: DataFrame, n: int, cores: np.ndarray, first: np.ndarray, low: np.float32, block: int, dim: int) -> list[tuple[str, str]]:
+def _tile_links(asking: DataFrame, rows: DataFrame, low: np.float32, block: int, dim: int) -> DataFrame:
+    """``(a, b)``: spanning forests of the links between two tables ``(node, salt, v)``; nodes that are equal need no link.
+
+    Each task holds ``block`` asking rows and streams its share of the others past them. Both
+    tables are copied once per part of the other one, so what moves grows with the product of
+    the tables over the size of a tile.
+    """
+    asks, given = asking.count(), rows.count()
+    if not asks or not given:
+        return asking.sparkSession.createDataFrame([], "a string, b string")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    across = -(-asks // block)
+    down = min(max(-(-given // (4 * block)), -(-cores // across)), -(-given // 1024))
+    salted = lambda n: F.pmod("salt", F.lit(n)).cast("int")
+    left = asking.select("node", "v", F.lit(0).cast("byte").alias("kind"), salted(across).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("j"))
+    right = rows.select("node", "v", F.lit(1).cast("byte").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("i"), salted(down).alias("j"))
+    tiles = left.unionByName(right).select((F.col("i") * down + F.col("j")).alias("tile"), "kind", "node", "v")
+
+    def forest(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        root = _roots(len(names), i, j)
+        at = np.flatnonzero(root != np.arange(len(root)))
+        return at, root[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one tile, asking ones first."""
+        current, names, vectors, known, matrix, codes, ends = None, [], [], {}, None, None, []
+
+        def settle() -> pa.RecordBatch | None:
+            if not ends:
+                return None
+            i, j = forest(np.arange(len(known)), *(np.concatenate(x) for x in zip(*ends, strict=True)))
+            ends.clear()
+            label = np.array(list(known), object)
+            return pa.RecordBatch.from_arrays([pa.array(label[i], pa.string()), pa.array(label[j], pa.string())], ["a", "b"])
+
+        for b in batches:
+            tile, kind, node, x = b.column("tile").to_numpy(), b.column("kind").to_numpy(), b.column("node").to_pylist(), vector_rows(b.column("v"), dim)
+            change = np.flatnonzero(np.diff(tile.astype(np.int64) * 2 + kind)) + 1
+            for lo, hi in zip(np.append(0, change), np.append(change, len(tile)), strict=True):
+                if lo == hi:
+                    continue
+                if tile[lo] != current:
+                    if (done := settle()) is not None:
+                        yield done
+                    current, names, vectors, known, matrix = tile[lo], [], [], {}, None
+                if kind[lo] == 0:
+                    names += node[lo:hi]
+                    vectors.append(x[lo:hi].copy())
+                    continue
+                if not names:
+                    continue
+                if matrix is None:
+                    matrix = np.concatenate(vectors)
+                    codes = np.array([known.setdefault(n, len(known)) for n in names])
+                own = np.array([known.setdefault(n, len(known)) for n in node[lo:hi]])
+                step = max(16, 8_000_000 // len(matrix))
+                for at in range(lo, hi, step):
+                    i, j = np.nonzero(x[at : min(at + step, hi)] @ matrix.T >= low)
+                    p, q = own[at - lo + i], codes[j]
+                    ok = p != q
+                    if ok.any():
+                        both = np.unique(np.minimum(p[ok], q[ok]) * np.int64(1 << 32) + np.maximum(p[ok], q[ok]))
+                        ends.append((both >> 32, both & ((1 << 32) - 1)))
+                if sum(len(e[0]) for e in ends) > 4_000_000:  # keep a forest only
+                    i, j = forest(np.arange(len(known)), *(np.concatenate(e) for e in zip(*ends, strict=True)))
+                    ends[:] = [(i, j)]
+        if (done := settle()) is not None:
+            yield done
+
+    tiles = tiles.repartitionById(across * down, F.col("tile")).sortWithinPartitions("tile", "kind")
+    return tiles.mapInArrow(run, "a string, b string").distinct()
+
+
+def _far_links(tagged: DataFrame, comp: DataFrame, n: int, cores: np.ndarray, first: np.ndarray, low: np.float32, block: int, dim: int) -> DataFrame | None:
     """Links between core groups of different components through rows that come near one group only.
 
     A row outside the largest component is compared with all such rows if it can link to one
@@ -245,7 +351,7 @@ def _far_links(tagged: DataFrame, comp: DataFrame, n: int, cores: np.ndarray, fi
     angles of at most r from their cores, that needs d at most r plus the angle of a link.
     """
     far = tagged.where("part >= 0 and not near")
-    held = far.groupBy("part").agg(F.count("*").alias("n"), F.min("close").alias("close")).collect()
+    held = far.groupBy("part").agg(F.count("*").alias("n"), F.min("close").alias("close")).collect()  # one row per core group
     label = np.array([f"\x01{i}" for i in range(n)], object)
     for r in comp.where(F.col("vertex").startswith("\x01")).collect():
         label[int(r.vertex[1:])] = r.component
@@ -256,64 +362,50 @@ def _far_links(tagged: DataFrame, comp: DataFrame, n: int, cores: np.ndarray, fi
         rows[r.part] = r.n
     held_by = np.bincount(code, weights=rows)
     if (held_by > 0).sum() < 2:
-        return []
+        return None
     largest = int(np.argmax(held_by))
+    ask, named = "node string, salt long, v binary", [str(x) for x in label]
 
-    def can_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, mine = vector_rows(b.column("v"), dim), code[b.column("part").to_numpy()]
-            ok = np.zeros(len(x), bool)
-            for lo in range(0, len(x), 2048):
-                best = np.maximum.reduceat(x[lo : lo + 2048] @ cores.T, first, axis=1)
-                own = mine[lo : lo + 2048]
-                ok[lo : lo + 2048] = (own != largest) & ((np.arccos(np.clip(best, -1, 1)) <= reach) & (code[None, :] != own[:, None])).any(1)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column("id").filter(keep), b.column("v").filter(keep), pa.array(mine[ok].astype(np.int32))], ["id", "v", "code"])
-
-    asking = materialize(far.select("id", "v", "part").mapInArrow(can_link, "id string, v binary, code int"), "cl-far")
-    blocks = -(-asking.count() // block)
-    found: set[tuple[int, int]] = set()
-    for i in range(blocks):
-        got = asking.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).select("v", "code").orderBy("code").collect()
-        if not got:
-            continue
-        q = np.stack([np.frombuffer(bytes(r.v), np.float32) for r in got])
-        asked, start = np.unique(np.array([r.code for r in got]), return_index=True)
-
-        def meet(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, asked: np.ndarray = asked, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            links = np.zeros((int(code.max()) + 1, len(asked)), bool)
+    def with_component(only_asking: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x, mine = vector_rows(b.column("v"), dim), code[b.column("part").to_numpy()]
-                for lo in range(0, len(x), 512):
-                    at, g = np.nonzero(np.maximum.reduceat(x[lo : lo + 512] @ q.T, start, axis=1) >= low)
-                    links[mine[lo + at], g] = True
-            a, g = np.nonzero(links)
-            ok = a != asked[g]
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok].astype(np.int32)), pa.array(asked[g][ok].astype(np.int32))], ["a", "b"])
+                x, part = vector_rows(b.column("v"), dim), b.column("part").to_numpy()
+                mine, ok = code[part], np.ones(len(part), bool)
+                for lo in range(0, len(x) if only_asking else 0, 2048):
+                    best = np.maximum.reduceat(x[lo : lo + 2048] @ cores.T, first, axis=1)
+                    own = mine[lo : lo + 2048]
+                    ok[lo : lo + 2048] = (own != largest) & ((np.arccos(np.clip(best, -1, 1)) <= reach) & (code[None, :] != own[:, None])).any(1)
+                keep = pa.array(ok)
+                yield pa.RecordBatch.from_arrays([pa.array([named[p] for p in part[ok]], pa.string()), b.column("salt").filter(keep), b.column("v").filter(keep)], ["node", "salt", "v"])
 
-        found |= {(min(r.a, r.b), max(r.a, r.b)) for r in far.select("v", "part").mapInArrow(meet, "a int, b int").distinct().collect()}
-    names = {int(c): str(s) for c, s in zip(code, label, strict=True)}
-    return [(names[a], names[b]) for a, b in sorted(found)]
+        return run
+
+    far = far.select("part", F.xxhash64("id").alias("salt"), "v")
+    asking = materialize(far.mapInArrow(with_component(True), ask), "cl-far")
+    found = _tile_links(asking, far.mapInArrow(with_component(False), ask), low, block, dim)
+    return materialize(found, "cl-far-links")
 
 
 def link_clusters(
     vectors: DataFrame,
     min_cosine: float = 0.6,
     least: int = 5,
-    k: int = 64,
+    k: int | None = None,
     core: int = 32,
     border: float = 0.45,
-    block: int = 32_768,
+    block: int = 131_072,
     dim: int = 64,
     seed: int = 5,
 ) -> DataFrame:
     """Clusters of rows joined by links of ``min_cosine``: ``(id, cluster)`` for clusters of ``least`` rows or more.
 
     ``vectors`` is ``(id, v)`` with unit vectors as bytes, one row per id; ``cluster`` is the
-    smallest id of the cluster. Rows of smaller clusters and an empty table give no rows.
+    smallest id of the cluster. ``k`` is a quarter of the square root of the rows unless given. Rows of smaller clusters and an empty table give no rows.
     """
     spark = vectors.sparkSession
     vectors = materialize(vectors, "cl-vectors")
+    if k is None:
+        k = int(np.clip(np.sqrt(vectors.count()) / 4, MIN_K, MAX_K))
     centres = kmeans(vectors, k, dim, seed=seed)
     if not len(centres):
         return spark.createDataFrame([], "id string, cluster string")
@@ -347,41 +439,13 @@ def link_clusters(
     joins = tagged.where("also is not null").select("part", F.explode("also").alias("other")).distinct().collect()  # pairs of core groups
     node = F.when(F.col("part") >= 0, F.concat(F.lit("\x01"), F.col("part").cast("string"))).otherwise(F.col("id"))
     edges = spark.createDataFrame([("\x01" + str(r.part), "\x01" + str(r.other)) for r in joins], "a string, b string")
-    asking = tagged.where("near")
-    count = asking.count()
-    blocks = max(1, -(-count // block)) if count else 0
-    for i in range(blocks):
-        rows = asking.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).select("v", node.alias("node")).collect()
-        q = np.stack([np.frombuffer(bytes(r.v), np.float32) for r in rows]) if rows else np.empty((0, dim), np.float32)
-        q_nodes = np.array([r.node for r in rows], object)
-
-        def to_all(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, q_nodes: np.ndarray = q_nodes) -> Iterator[pa.RecordBatch]:
-            """A spanning forest of the links between the block's rows and a batch of rows."""
-            for b in batches:
-                x, nodes = vector_rows(b.column("v"), dim), np.array(b.column("node").to_pylist(), object)
-                ai, bi = [], []
-                for lo in range(0, len(x), 512):
-                    s = x[lo : lo + 512] @ q.T
-                    i, j = np.nonzero(s >= low)
-                    ai.append(i + lo)
-                    bi.append(j)
-                i, j = np.concatenate(ai or [np.empty(0, np.int64)]), np.concatenate(bi or [np.empty(0, np.int64)])
-                ok = nodes[i] != q_nodes[j]
-                if not ok.any():
-                    continue
-                i, j = i[ok], j[ok]
-                root = _roots(len(x) + len(q), i, j + len(x))
-                name = np.concatenate([nodes, q_nodes])
-                at = np.flatnonzero(root != np.arange(len(root)))
-                yield pa.RecordBatch.from_arrays([pa.array(name[at], pa.string()), pa.array(name[root[at]], pa.string())], ["a", "b"])
-
-        if rows:
-            found = tagged.select("v", node.alias("node")).mapInArrow(to_all, "a string, b string").where("a != b").distinct()
-            edges = edges.unionByName(materialize(found, "cl-links"))
+    nodes = tagged.select(node.alias("node"), F.xxhash64("id").alias("salt"), "v", "near")
+    found = materialize(_tile_links(nodes.where("near").drop("near"), nodes.drop("near"), low, block, dim), "cl-links")
+    edges = edges.unionByName(found)
     comp = connected_components(edges)
     merged = _far_links(tagged, comp, len(names), ordered, first, low, block, dim)
-    if merged:
-        comp = connected_components(edges.unionByName(spark.createDataFrame(merged, "a string, b string")))
+    if merged is not None and not merged.isEmpty():
+        comp = connected_components(edges.unionByName(merged))
     named = tagged.select("id", node.alias("node")).join(comp.withColumnRenamed("vertex", "node"), "node", "left")
     named = materialize(named.select("id", F.coalesce("component", "node").alias("c")), "cl-named")
     sizes = named.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("cluster")).where(F.col("n") >= least)

@@ -35,9 +35,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk of 20 words or more with its group of near-duplicates and its number of links."""
+    """Every chunk of 20 words or more with its group of near-duplicates, its class of copies and its number of links."""
     found = near_duplicates.groups(*_triples(spark, sf_dir))
-    return found.select(F.col("id").alias("chunk_id"), F.col("grp").alias("file_path"), "group_id", "links")
+    return found.select(F.col("id").alias("chunk_id"), F.col("grp").alias("file_path"), "group_id", "class_id", "links")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,12 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.describe(files, found).select(F.col("cluster").alias("cluster_path"), "size", "typical")
 
 
+def p4_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by topic of their texts: hashed weighted features, k-means, and the members nearest each centroid."""
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "content")
+    return clusters.text_topics(chunks, "chunk_id", "content")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of more than 4,096 bytes, and whether some stretch of them has no natural boundary."""
     cut = splitting.split_oversized(table(spark, sf_dir, "chunks"), with_content=False)
@@ -86,10 +92,15 @@ def p5_reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in containers of 2,048 tokens."""
+    """All documents in containers of at most 2,048 tokens, 16 segments and 1,984 loss-bearing tokens."""
     return packing.fill_containers(table(spark, sf_dir, "documents"))
 
 
+def p6_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are and which limits they reach."""
+    return packing.utilisation(p6_containers(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least 12 consecutive words of a held-out item."""
     return p7_coverage(spark, sf_dir).select("doc_id", "item_id")
@@ -100,6 +111,11 @@ def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs in which tiles cover at least half of the item, in whatever order they stand."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), min_coverage=0.5)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every document of English prose."""
     return p8_difficulty(spark, sf_dir).select("doc_id", "reading_level")
