@@ -1,17 +1,17 @@
 """Generated, minified, vendored and data files among source files, by a random forest.
 
 Labels come from what such files say of themselves: notices in comments ("code generated by
-..., do not edit", "imported unchanged from ..."), folders that package managers and builds
-write to, file names that tools give, and for data kept as code, which carries no notice,
-contents of which nearly every character stands in rows of numbers, records or encoded bytes.
-The lines of the notices are hidden from the features, so that the forest learns what the
-files look like: compression ratio, token entropy, identifier lengths, comment density, line
-lengths and the like.
+..., do not edit", "imported unchanged from ...", release banners), and where a kind of file carries none, from
+the names that tools give, the folders that builds write to, packages with foreign names below the folders of package managers, and contents
+of which nearly every character stands in rows of numbers, records or encoded bytes.
+The lines of the notices, the names and the share of data rows are hidden from the features. The forest sees what the
+files look like (compression ratio, token entropy, identifier lengths, comment density, line
+lengths and the like) and where they lie.
 
 Files without a label may still belong to a class, so they are no safe negatives. Training
 therefore takes three steps: a forest tells labelled files from the rest, the rest's files
 that look like labelled ones are left out, twice, and the last forest is trained on what is
-left. A file is reported if it has a label or the last forest says so.
+left. A file is reported if the last forest says so or, as an exact check, if it carries a notice itself.
 
 Scale: features are sums per chunk that are added up per file, so no file is ever put
 together in one place. The forests are fitted on at most ``max_train`` labelled rows drawn by
@@ -48,14 +48,19 @@ GENERATED = re.compile(
 #: The same for files taken over from others.
 VENDORED = re.compile(
     r"(?ix)^(?: (?:copied|imported|vendored|taken|borrowed|adopted)\ (?:(?:unchanged|verbatim|as\ is)\ )?from\ (?:https?:|project\b|upstream\b|the\ upstream\b|package\b|\S+\ v?\d)"
+    r"| .*\b(?:upstream|unmodified|unchanged|verbatim)\ copy\b.*\b(?:https?:|source\b) | !?\ ?[\w.@/-]+\ v?\d[\w.]*\ \|\ (?:\(c\)|copyright)\ .*\|.*\blicen[cs]e"
     r"| \S+\ -\ single-header\ library\b | (?:bundled|vendored)\ copy\ of\b | third[-\ ]party\ (?:code|library|source)\b.*\b(?:from|by|unchanged)\b )"
 )
 _COMMENT = re.compile(r"^\s*(?://+!?|\#+!?|/\*+!?|\*+|--|;+|<!--|%+)\s*(.*?)\s*(?:\*/|-->)?\s*$")
+#: Folders of package managers and of copied packages.
 VENDOR_FOLDERS = r"(?i)/(?:vendor|vendors|vendored|third[-_]?part(?:y|ies)|3rd[-_]?party|node_modules|bower_components|jspm_packages|site-packages|dist-packages|externals?|extern|deps|dependencies|pods|carthage|godeps)/"
 BUILD_FOLDERS = r"(?i)/(?:gen|generated|__generated__|autogen|build|dist|target|out)/"
 TOOL_NAMES = r"(?i)(?:_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|cc|h|c|js|ts)|grpc(?:_auto)?\.java|\.g\.[a-z]+|\.gen\.[a-z]+|\.generated\.[a-z]+|[._-]generated\.[a-z]+|_auto\.[a-z]+|\.tab\.[ch]|\.designer\.[a-z]+)$"
 MINIFIED_NAMES = r"(?i)(?:[.-]min\.[a-z]+|[.-](?:bundle|chunk)\.[a-z]+|\.[0-9a-f]{4,}\.(?:js|mjs|cjs|jsx|css|ts|tsx))$"
 
+#: Words that at least this share of the paths outside of such folders has are the corpus's own, and no names of packages.
+OWN_WORDS = 0.001
+
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 _ROW = re.compile(r"^[\s\[\](){},;:|+\-.\dxXeE\"'a-fA-F]*$")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
@@ -147,20 +152,37 @@ def file_features(chunks: DataFrame) -> DataFrame:
     return files
 
 
+def foreign_packages(paths: DataFrame) -> DataFrame:
+    """``(path)`` of files below a package folder whose name has a word that paths elsewhere hardly have.
+
+    ``vendors/`` or ``dependencies/`` may be a module of one's own, whose folders are named with
+    the words of the corpus; a package taken over brings its own name.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w != ""))
+    paths = paths.select("path").where(F.col("path").isNotNull()).distinct()
+    inside = F.col("path").rlike(VENDOR_FOLDERS)
+    elsewhere = paths.where(~inside)
+    common = elsewhere.select(F.explode(words(F.col("path"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    least = elsewhere.agg(F.greatest(F.lit(2.0), F.count("*") * OWN_WORDS).alias("least"))  # one row
+    common = common.crossJoin(F.broadcast(least)).where(F.col("n") >= F.col("least")).select("word", F.lit(True).alias("own"))
+    package = F.regexp_extract("path", VENDOR_FOLDERS + "([^/]+)/", 1)
+    named = paths.where(inside).select("path", F.explode(words(package)).alias("word")).join(common, "word", "left")
+    return named.where(F.col("own").isNull()).select("path").distinct()
+
+
 def label() -> Column:
-    """The reason that a file gives of itself, or null."""
-    path = F.col("path")
+    """The reason to count a file among the foreign ones for training, or null."""
     return (
-        F.when((F.col("says_generated") == 1) | path.rlike(BUILD_FOLDERS) | path.rlike(TOOL_NAMES), "generated")
-        .when((F.col("says_vendored") == 1) | path.rlike(VENDOR_FOLDERS), "vendored")
-        .when(path.rlike(MINIFIED_NAMES), "minified")
+        F.when((F.col("says_generated") == 1) | (F.col("build_folder") == 1) | (F.col("tool_name") == 1), "generated")
+        .when((F.col("says_vendored") == 1) | (F.col("package") == 1), "vendored")
+        .when(F.col("minified_name") == 1, "minified")
         .when(F.col("data_chars") >= 0.8 * F.greatest(F.col("raw") - F.col("blanks"), F.lit(1)), "data")
     )
 
 
 FEATURES = [
     "compression", "token_entropy", "name_length", "short_names_share", "comment_density", "line_length", "longest_line", "digit_share", "letter_share", "blank_share",
-    "shape_share", "encoded_share", "data_share", "vocabulary", "generic_type",
+    "shape_share", "encoded_share", "vocabulary", "generic_type", "build_folder", "package",
 ]
 
 
@@ -170,35 +192,38 @@ def with_ratios(files: DataFrame) -> DataFrame:
         "compression": F.col("packed") / one("raw"), "token_entropy": F.col("entropy") / one("tokens"), "name_length": F.col("name_chars") / one("names"),
         "short_names_share": F.col("short_names") / one("names"), "comment_density": F.col("comments") / one("lines"), "line_length": F.log1p(F.col("chars") / one("lines")),
         "longest_line": F.log1p("longest"), "digit_share": F.col("digits") / one("raw"), "letter_share": F.col("letters") / one("raw"), "blank_share": F.col("blanks") / one("raw"),
-        "shape_share": F.col("shapes") / one("lines"), "encoded_share": F.col("encoded") / one("chars"), "data_share": F.col("data_chars") / one("chars"), "vocabulary": F.col("kinds") / one("tokens"),
+        "shape_share": F.col("shapes") / one("lines"), "encoded_share": F.col("encoded") / one("chars"), "vocabulary": F.col("kinds") / one("tokens"),
     }
     return files.withColumns(ratios)
 
 
 def find_foreign_files(chunks: DataFrame, files: DataFrame, max_train: int = 20_000, trees: int = 24, depth: int = 7, min_vote: float = 0.6, seed: int = 17) -> DataFrame:
-    """``(path, reason, probability, found)`` of every file that holds source code.
+    """``(path, reason, notice, probability, found)`` of every file that holds source code.
 
-    ``reason`` is what the file says of itself (generated, vendored, minified, data) or null,
-    ``probability`` the forest's vote, ``found`` whether there is a reason or a vote of at least ``min_vote``. ``max_train``
+    ``reason`` is the label for training (generated, vendored, minified, data) or null, ``notice`` whether a notice gave it,
+    ``probability`` the forest's vote, ``found`` whether the vote is at least ``min_vote`` or the file carries a notice. ``max_train``
     bounds the rows that each forest is fitted on. With fewer than ten labelled or unlabelled
     files there is no forest and the labels decide; no code gives an empty result.
     """
-    spark = chunks.sparkSession
     mime = files.where(F.col("path").isNotNull()).groupBy("path").agg(F.max_by("mime_type", F.struct(F.coalesce("indexed_at", F.lit("1970-01-01").cast("timestamp")), "modified_at")).alias("mime"))
-    rows = with_ratios(file_features(chunks)).withColumn("reason", label()).join(mime, "path", "left")
+    code = materialize(with_ratios(file_features(chunks)), "hw-features")
+    flag = lambda pattern: F.col("path").rlike(pattern).cast("double")
+    rows = code.join(mime, "path", "left").join(foreign_packages(code).withColumn("package", F.lit(1.0)), "path", "left").fillna({"package": 0.0})
+    rows = rows.withColumns({"build_folder": flag(BUILD_FOLDERS), "tool_name": flag(TOOL_NAMES), "minified_name": flag(MINIFIED_NAMES)}).withColumn("reason", label())
     generic = F.coalesce(F.col("mime").isin("text/plain", "application/octet-stream", ""), F.lit(True)).cast("double")
-    rows = rows.withColumn("generic_type", generic).withColumn("labelled", F.col("reason").isNotNull().cast("double")).select("path", "reason", "labelled", *FEATURES)
-    rows = materialize(rows, "hw-files")
+    notice = (F.col("says_generated") == 1) | (F.col("says_vendored") == 1)
+    rows = rows.withColumn("generic_type", generic).withColumn("labelled", F.col("reason").isNotNull().cast("double"))
+    rows = materialize(rows.select("path", "reason", F.coalesce(notice, F.lit(False)).alias("notice"), "labelled", *FEATURES), "hw-files")
     tally = {r.labelled: r["count"] for r in rows.groupBy("labelled").count().collect()}
     n = sum(tally.values())
     if min(tally.get(0.0, 0), tally.get(1.0, 0)) < 10:
-        return rows.select("path", "reason", F.lit(None).cast("double").alias("probability"), F.col("reason").isNotNull().alias("found"))
+        return rows.select("path", "reason", "notice", F.lit(None).cast("double").alias("probability"), F.col("reason").isNotNull().alias("found"))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(rows)
     share = max(1, -(-n // max_train))
     sample = vectors.where(F.pmod(F.xxhash64("path", F.lit(seed)), F.lit(share)) == 0)
 
     def forest(train: DataFrame):
-        return RandomForestClassifier(labelCol="labelled", featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=10, seed=seed, maxBins=64).fit(train.select("features", "labelled"))
+        return RandomForestClassifier(labelCol="labelled", featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=5, featureSubsetStrategy="0.5", seed=seed, maxBins=64).fit(train.select("features", "labelled"))
 
     usual = tally[1.0] / n
     vote = vector_to_array("probability")[1]
@@ -207,4 +232,4 @@ def find_foreign_files(chunks: DataFrame, files: DataFrame, max_train: int = 20_
         suspect = forest(train).transform(sample.select("path", "features", "labelled"))
         train = materialize(suspect.where((F.col("labelled") == 1) | (vote <= 1.5 * usual)).select("path", "features", "labelled"), "hw-train")
     out = forest(train).transform(vectors).withColumn("vote", vote)
-    return out.select("path", "reason", F.round("vote", 6).alias("probability"), (F.col("reason").isNotNull() | (F.col("vote") >= min_vote)).alias("found"))
+    return out.select("path", "reason", "notice", F.round("vote", 6).alias("probability"), (F.col("notice") | (F.col("vote") >= min_vote)).alias("found"))

@@ -9,10 +9,12 @@ def test_notices():
         "# This file was automatically produced by x; manual changes will be lost.": "generated", "// Automatisch erzeugt aus x.xsd, bitte nicht von Hand ändern": "generated",
         "/* Imported unchanged from project Abc, tag v1; send fixes upstream */": "vendored", "// x.h - single-header library, public domain": "vendored",
         "# Copied from https://x.example.invalid/releases/1 (bundled so that the build works offline)": "vendored",
+        "// Some lib 3.18.6 - upstream copy, see https://x.example.invalid/ for the source": "vendored", "/*! lib v6.3 | (c) The Lib Authors | released under the permissive licence */": "vendored",
     }
     no = [
         '// HEADER = "Code generated by x. DO NOT EDIT."', "// do not edit the generated config, change this template instead", "# the output below is generated by x at run time and never stored",
         "// hand-tuned; an earlier version was generated and has been rewritten", "# auto-generated files are ignored by x, see docs", 'x = "Code generated by y"', "", "//", "# imported from the list below",
+        "// Copyright the maintainers. Licensed under the project licence.", "# the copy goes to the upstream copy of the list",
     ]
     assert {k: hw.notice_of(k) for k in yes} == yes
     assert [k for k in no if hw.notice_of(k)] == []
@@ -42,7 +44,11 @@ def test_find(spark):
         rows.append((f"m{i}", f"/p/src/lib{i}.min.js", "code:js", mini(rng)))
     for i in range(12):
         rows.append((f"u{i}", f"/p/src/plain{i}.js", "code:js", mini(rng)))
-    rows += [("v", "/p/vendor/x/a.py", "code:py", hand(rng)), ("g", "/p/src/gen1.py", "code:py", "# @generated\n" + hand(rng)), ("d", "/p/src/table.py", "code:py", "rows = [\n" + "".join(f"[{rng.randint(1, 9999)}, {rng.random():.4f}, {i}],\n" for i in range(80)) + "]")]
+    for i in range(15):
+        rows.append((f"v{i}", f"/p/vendor/zlorp/a{i}.py", "code:py", hand(rng)))
+        rows.append((f"o{i}", f"/p/vendors/src/hand_too{i}.py", "code:py", hand(rng)))  # a module of one's own
+        rows.append((f"d{i}", f"/p/src/table{i}.py", "code:py", "rows = [\n" + "".join(f"[{rng.randint(1, 9999)}, {rng.random():.4f}, {i}],\n" for i in range(80)) + "]"))
+    rows += [("g", "/p/src/gen1.py", "code:py", "# @generated\n" + hand(rng))]
     rows += [("by", "/p/generated_by_hand/builders/a.py", "code:py", hand(rng)), ("t", "/p/readme.md", "markdown", "# Code generated by x"), ("n1", "/p/src/none.py", "code:py", None), ("n2", None, "code:py", "x"), ("e", "/p/src/empty.py", "code:py", ""), (None, "/p/src/hand0.py", "code:py", "x = 1"), rows[0]]
     files = [(p, "text/x-python", None, None) for p in {r[1] for r in rows}] + [(None, "text/plain", None, None)]
     chunks = spark.createDataFrame([(*r, "q") for r in rows], "chunk_id string, file_path string, content_type string, content string, path string")
@@ -51,7 +57,8 @@ def test_find(spark):
     assert len(got) == len({r[1] for r in rows if r[1] and r[2].startswith("code:") and r[3] is not None})
     found = {p for p, r in got.items() if r.found}
     assert {f"/p/src/plain{i}.js" for i in range(12)} <= found  # only the forest can know
-    assert {"/p/vendor/x/a.py", "/p/src/gen1.py", "/p/src/table.py"} <= found
+    assert {"/p/src/gen1.py", *(f"/p/vendor/zlorp/a{i}.py" for i in range(15)), *(f"/p/src/table{i}.py" for i in range(15))} <= found
+    assert all(r.notice or r.probability >= 0.6 for r in got.values() if r.found)
     assert not any("hand" in p for p in found)
 
 
@@ -59,5 +66,5 @@ def test_few_files_and_none(spark):
     schema, fschema = "chunk_id string, file_path string, content_type string, content string", "path string, mime_type string, indexed_at timestamp, modified_at timestamp"
     none = spark.createDataFrame([], fschema)
     assert hw.find_foreign_files(spark.createDataFrame([], schema), none).count() == 0
-    two = spark.createDataFrame([("a", "/x/vendor/a.py", "code:py", "x = 1"), ("b", "/x/b.py", "code:py", "y = 2")], schema)
-    assert {r.path: r.found for r in hw.find_foreign_files(two, none).collect()} == {"/x/vendor/a.py": True, "/x/b.py": False}
+    two = spark.createDataFrame([("a", "/x/vendor/pkg/a.py", "code:py", "x = 1"), ("b", "/x/b.py", "code:py", "y = 2")], schema)
+    assert {r.path: r.found for r in hw.find_foreign_files(two, none).collect()} == {"/x/vendor/pkg/a.py": True, "/x/b.py": False}
