@@ -61,14 +61,18 @@ def bm25(texts, query):
     return out
 
 
-def test_bm25_with_and_without_an_index(spark):
+def test_bm25_with_and_without_an_index(spark, tmp_path):
     texts = {1: "the cat sat", 2: "the dog sat on the mat", 3: "Größe cat cat", 4: None, 5: "", 6: "..."}
     df = spark.createDataFrame(list(texts.items()), "id int, t string")
     want = bm25(texts, "Cat sat größe")
-    for index in (None, fulltext.inverted_index(df, "id", "t")):
+    for index in (None, fulltext.StoredIndex.build(df, "id", "t", str(tmp_path / "i"), 3)):
         got = {r.id: r.bm25 for r in fulltext.bm25(df, "id", "t", "Cat sat größe", index).collect()}
         assert got == pytest.approx(want)
     assert fulltext.bm25(df, "id", "t", " . ").count() == 0
+    assert index.documents == 3 and index.search(" . ").count() == 0 and index.search("zebra").count() == 0
+    empty = fulltext.StoredIndex.build(df.limit(0), "id", "t", str(tmp_path / "e"))
+    assert empty.documents == 0 and empty.search("cat").count() == 0
+    assert fulltext.bm25(df.limit(0), "id", "t", "cat").count() == 0
 
 
 def test_hybrid(chunks):
