@@ -9,7 +9,7 @@ from gleaner.config import Settings
 from gleaner.operators import analytics, search
 from gleaner.operators.chunking import chunk_documents
 from gleaner.operators.embedding import Embedder, HashEmbedder, ZeroEmbedder, embed_distinct
-from gleaner.operators.store import TableStore
+from gleaner.operators.store import MemoryStore, TableStore
 from gleaner.plans import dsl, organize
 from gleaner.streaming.indexer import Indexer
 
@@ -17,9 +17,10 @@ from gleaner.streaming.indexer import Indexer
 class Corpus:
     """Index folders or tables of texts, search them, and plan their tidying; results are DataFrames."""
 
-    def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None, embedder: Embedder | None = None):
+    def __init__(self, spark: SparkSession, path: str | None, settings: Settings | None = None, embedder: Embedder | None = None):
+        """``path`` is the store's folder; without one the rows are held in memory."""
         self.spark, self.settings = spark, settings or Settings()
-        self.store = TableStore(spark, path, self.settings.index.buckets)
+        self.store = MemoryStore(spark) if path is None else TableStore(spark, path, self.settings.index.buckets or None)
         dim = self.settings.embedding.dim
         self.embedder = embedder or (ZeroEmbedder(dim) if self.settings.embedding.model == "zero" else HashEmbedder(dim))
 
@@ -73,13 +74,21 @@ class Corpus:
         q.metric = self.settings.query.metric
         if limit is not None:
             q.limit = min(limit, self.settings.query.max_limit)
-        return search.run_query(self.chunks, q, self.embedder, self.files, self.settings.query.hybrid if hybrid is None else hybrid)
+        hybrid = self.settings.query.hybrid if hybrid is None else hybrid
+        return search.run_query(self.chunks, q, self.embedder, self.files, hybrid, index=self.store.fulltext() if hybrid else None)
 
     def search(self, request: search.SearchRequest) -> DataFrame:
-        return search.search(self.chunks, request, self.files)
+        """Results of a request with a vector, a text or both."""
+        return search.search(self.chunks, request, self.files, index=self.store.fulltext() if request.text else None)
 
-    def documents(self, text: str, k: int = 4, hybrid: bool = True) -> DataFrame:
-        return search.as_documents(self.query(text, hybrid, k))
+    def search_vector(self, vector: list[float], limit: int = 10, text: str | None = None, filters: list[dsl.Filter] | None = None, metric: str = "cosine") -> DataFrame:
+        """Results for a vector given by the caller, which need not come from the embedder; with a text the hybrid list."""
+        return self.search(search.SearchRequest(vector, text, limit, filters or [], metric))
+
+    def documents(self, text: str, k: int = 4, hybrid: bool = True, scores: bool = False) -> DataFrame:
+        """Results as documents; the number and kind of search can be set per call, and the score be a column of its own."""
+        found = search.as_documents(self.query(text, hybrid, k))
+        return found.withColumn("score", F.element_at("metadata", F.lit("score")).cast("double")) if scores else found
 
     def similar_files(self, path: str, k: int = 10, distinct_files: bool = False) -> DataFrame:
         """What is nearest to the mean vector of a file; empty if the file has no vector."""

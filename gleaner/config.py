@@ -15,7 +15,7 @@ class IndexSettings:
     exclude: list[str] = field(default_factory=lambda: list(DEFAULT_EXCLUDES))
     max_file_size: int = 50 << 20
     debounce_ms: int = 500
-    buckets: int = 16
+    buckets: int = 0  # 0: from the size
     strict_types: bool = False
 
 

@@ -10,6 +10,7 @@ UTF-8 bytes for the other two. All positions are half-open and lines count from
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -376,22 +377,29 @@ def chunk_text(text: str | None, content_type: str, config: ChunkConfig | None =
     return semantic_chunks(text, config)
 
 
-def chunk_documents(df: DataFrame, text_col: str = "text", type_col: str = "content_type", config: ChunkConfig | None = None, strategy: str = "auto", gapless: bool = False) -> DataFrame:
+def chunk_documents(
+    df: DataFrame, text_col: str = "text", type_col: str = "content_type", config: ChunkConfig | None = None, strategy: str = "auto", gapless: bool = False, elements_col: str | None = None
+) -> DataFrame:
     """The columns of ``df`` without the text, and one row per chunk.
 
     ``strategy``: ``auto`` sends ``code:*`` to symbols, ``text`` and ``markdown`` to headings and
     the rest to fixed windows; ``fixed``, ``semantic`` and ``code`` send everything one way.
-    Null and empty texts give no chunk; a null type counts as text.
+    ``elements_col`` names extracted elements, which are packed instead of the text where headings
+    would decide, if there are any. Null and empty texts give no chunk; a null type counts as text.
     """
     if strategy not in ("auto", "fixed", "semantic", "code"):
         raise ValueError(f"unknown strategy {strategy}")
     config = config or ChunkConfig()
     fresh = {c.split()[0] for c in CHUNK.split(", ")}
-    keep = [c for c in df.columns if c not in fresh and c != text_col]
+    keep = [c for c in df.columns if c not in fresh and c not in (text_col, elements_col)]
     kind = F.coalesce(F.col(type_col), F.lit("text")) if type_col in df.columns else F.lit("text")
-    rows = spread(df.select(*keep, kind.alias("_kind"), F.col(text_col).alias("_t")).where(F.col("_t") != ""))
+    given = F.lit(None).cast("string") if elements_col is None else F.to_json(elements_col)
+    rows = spread(df.select(*keep, kind.alias("_kind"), F.col(text_col).alias("_t"), given.alias("_e")).where(F.col("_t") != ""))
 
-    def one(text: str, tag: str) -> list[dict]:
+    def one(text: str, tag: str, given: str | None) -> list[dict]:
+        elements = json.loads(given) if given and (strategy == "semantic" or (strategy == "auto" and tag in ("text", "markdown"))) else []
+        if elements:
+            return element_chunks(elements, config)
         if strategy == "fixed":
             return fixed_windows(text, config, gapless)
         if strategy == "semantic":
@@ -407,7 +415,7 @@ def chunk_documents(df: DataFrame, text_col: str = "text", type_col: str = "cont
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lists = [one(t, k) for t, k in zip(pdf["_t"], pdf["_kind"], strict=True)]
+            lists = [one(t, k, e) for t, k, e in zip(pdf["_t"], pdf["_kind"], pdf["_e"], strict=True)]
             at = [i for i, rows in enumerate(lists) for _ in rows]
             flat = [r | {"chunk_index": k} for rows in lists for k, r in enumerate(rows)]
             if flat:

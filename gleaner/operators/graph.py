@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.runtime import materialize
+from gleaner.runtime import drop_materialized, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -46,7 +46,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # stable once every edge leads from a root to a leaf: no vertex is both, and no leaf has two roots
         roots, leaves = nxt.select(F.col("u").alias("x")).distinct(), nxt.groupBy(F.col("v").alias("x")).agg(F.count("*").alias("n"))
         unstable = leaves.where(F.col("n") > 1).select("x").unionByName(leaves.join(roots, "x", "left_semi").select("x"))
-        e = nxt
+        done, e = e, nxt
+        drop_materialized(done)
         if unstable.isEmpty():
             break
     else:

@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: list[str] = []
+#: Intermediate tables on disk, by application.
+_written: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +43,10 @@ def materialize(df: DataFrame, name: str, partitions: int | None = None) -> Data
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gleaner_path = path
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -54,14 +59,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
 def drop_materialized(df: DataFrame) -> None:
-    """Remove the files behind a table that :func:`materialize` returned."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+    """Remove the files behind a table that :func:`materialize` returned; nothing may read it any more."""
+    _remove(df.sparkSession, df._gleaner_path)
+
+
+def drop_all(spark: SparkSession) -> int:
+    """Remove every intermediate table of this session, once the results made from them have been read; returns how many."""
+    paths = list(_written.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,13 @@ DEFAULT_EXCLUDES = ["**/.git/**", "**/node_modules/**", "**/target/**", "**/__py
 EXTRACTED = f"path string, text string, elements array<{schema.ELEMENT}>, images array<struct<data:binary,mime_type:string,caption:string,page:int>>, title string, author string, language string, page_count int, error_message string"
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """A folder as Spark writes it in the paths of its files, with scheme and host; plain paths for the local file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub(r"^file:/*", "/", full).rstrip("/")
+
+
 def scan(spark: SparkSession, root: str, includes: list[str] | None = None, excludes: list[str] | None = None, max_size: int | None = None, content: bool = False, only: str | list[str] | None = None) -> DataFrame:
     """Regular files below a folder: ``(path, name, size_bytes, modified_at, mime_type[, content])``.
 
@@ -27,7 +35,7 @@ def scan(spark: SparkSession, root: str, includes: list[str] | None = None, excl
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(only or root)
     path = F.regexp_replace("path", r"^file:/*", "/")
     df = df.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), *(["content"] if content else []))
-    base = root.removeprefix("file://").rstrip("/")
+    base = qualified(spark, root)
     inner = F.col("path").substr(F.lit(len(base) + 2), F.char_length("path"))
     df = df.where(~matches_any(inner, DEFAULT_EXCLUDES if excludes is None else excludes))
     if includes:

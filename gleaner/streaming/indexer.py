@@ -5,18 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner import schema
 from gleaner.functions.paths import content_type_of, file_name
+from gleaner.operators.analytics import global_index
 from gleaner.operators.chunking import ChunkConfig, assemble, chunk_documents
 from gleaner.operators.embedding import Embedder, embed_distinct
-from gleaner.operators.store import TableStore
+from gleaner.operators.store import MemoryStore, TableStore
 from gleaner.runtime import materialize
 from gleaner.sources.files import content_hash, extract, scan
 
 
+#: Paths that share one content hash and are still ordered in one task.
+HOT_HASH = 1_000_000
+
+
 def diff(snapshot: DataFrame, files: DataFrame) -> DataFrame:
     """``(kind, path, to_path)`` that lead from the stored files to a snapshot.
 
@@ -33,11 +38,19 @@ def diff(snapshot: DataFrame, files: DataFrame) -> DataFrame:
         "kind",
         F.when(F.col("was").isNull(), "created").when(F.col("is").isNull(), "deleted").when(~F.col("h").eqNullSafe(F.col("oh")) | (F.coalesce("s", F.lit("pending")) != "indexed"), "modified"),
     ).where(F.col("kind").isNotNull())
-    from pyspark.sql import Window
 
-    rank = lambda h: F.row_number().over(Window.partitionBy(h).orderBy("path"))
-    born = both.where("kind = 'created' and h is not null").select(F.col("path").alias("to_path"), "h", rank("h").alias("r"))
-    died = both.where("kind = 'deleted' and oh is not null").select(F.col("path").alias("from_path"), F.col("oh").alias("h"), rank("oh").alias("r"))
+    def rank(rows: DataFrame, h: str) -> DataFrame:
+        """``rows`` with ``r``, the place of the path among those of the same hash; a hash that very many paths share takes several tasks."""
+        most = rows.groupBy(h).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= HOT_HASH:
+            return rows.withColumn("r", F.row_number().over(Window.partitionBy(h).orderBy("path")))
+        placed = global_index(rows.withColumn("_key", F.struct(h, "path")), "_key").drop("_key")
+        first = placed.groupBy(h).agg(F.min("position").alias("_f"))
+        return placed.join(first, h).withColumn("r", (F.col("position") - F.col("_f") + 1).cast("int")).drop("position", "_f")
+
+    both = materialize(both.select("kind", "path", "h", "oh"), "df-changed")
+    born = rank(both.where("kind = 'created' and h is not null"), "h").select(F.col("path").alias("to_path"), "h", "r")
+    died = rank(both.where("kind = 'deleted' and oh is not null"), "oh").select(F.col("path").alias("from_path"), F.col("oh").alias("h"), "r")
     moved = born.join(died, ["h", "r"]).select("from_path", "to_path")
     rest = both.join(moved.select(F.col("to_path").alias("path")), "path", "left_anti").join(moved.select(F.col("from_path").alias("path")), "path", "left_anti")
     return rest.select("kind", "path", F.lit(None).cast("string").alias("to_path")).unionByName(moved.select(F.lit("renamed").alias("kind"), F.col("from_path").alias("path"), "to_path"))
@@ -88,7 +101,7 @@ MAX_LISTED = 2000
 class Indexer:
     """Keeps a store in step with a folder: one lazy pipeline over all changed files per run, not per file."""
 
-    store: TableStore
+    store: TableStore | MemoryStore
     embedder: Embedder
     config: ChunkConfig = field(default_factory=ChunkConfig)
     includes: list[str] | None = None
@@ -102,10 +115,10 @@ class Indexer:
         """Chunks and file records of ``(path, content, content_hash, size_bytes, modified_at, mime_type)``."""
         found = materialize(extract(contents.select("path", "content", "mime_type"), self.pdf_reader, self.captioner), "ix-extracted")
         meta = contents.drop("content")
-        docs = found.where("error_message is null").select("path", "text").join(meta, "path")
+        docs = found.where("error_message is null").select("path", "text", "elements").join(meta, "path")
         docs = docs.withColumn("content_type", F.when(F.col("mime_type").startswith("image/"), "image_caption").otherwise(content_type_of(F.col("path"), self.strict_types)))
         docs = docs.withColumn("file_id", F.sha2("path", 256)).withColumnsRenamed({"mime_type": "file_mime_type", "size_bytes": "file_size_bytes"})
-        pieces = chunk_documents(docs, "text", "content_type", self.config)
+        pieces = chunk_documents(docs, "text", "content_type", self.config, elements_col="elements")
         chunks = embed_distinct(assemble(pieces, "path", "file_id", "content_hash", "content_type", self.embedder.name), "content", self.embedder)
         chunks = materialize(chunks.drop("path", "modified_at", "content_hash"), "ix-chunks")
         counts = chunks.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("chunk_count"))
@@ -160,13 +173,24 @@ class Indexer:
         gone = changes.select("path").unionByName(changes.where("to_path is not null").select(F.col("to_path").alias("path")))
         self.store.replace_files(materialize(gone.distinct(), "ix-gone"), materialize(chunks, "ix-new-chunks"), materialize(files, "ix-new-files"))
 
-    def watch(self, root: str, checkpoint: str, interval: str = "500 milliseconds", once: bool = False, on_change: Callable[[DataFrame, int], None] | None = None):
-        """A streaming query that compares the folder with the store at every tick."""
+    def updates(self, root: str, changes: DataFrame) -> DataFrame:
+        """``(event, path, chunks, error)`` of one run: ``started`` for the root, then what became of each path: ``indexed``, ``error`` or ``removed``."""
+        started = changes.sparkSession.createDataFrame([("started", root, None, None)], "event string, path string, chunks int, error string")
+        now = changes.where("kind <> 'deleted'").select(F.coalesce("to_path", "path").alias("path")).distinct()
+        now = now.join(self.store.read("files").select("path", "chunk_count", "status", "error_message"), "path")
+        now = now.select(F.when(F.col("status") == "error", "error").otherwise("indexed").alias("event"), "path", F.col("chunk_count").alias("chunks"), F.col("error_message").alias("error"))
+        gone = changes.where("kind IN ('deleted', 'renamed')").select(F.lit("removed").alias("event"), "path", F.lit(None).cast("int").alias("chunks"), F.lit(None).cast("string").alias("error"))
+        return started.unionByName(now).unionByName(gone)
+
+    def watch(self, root: str, checkpoint: str, interval: str = "500 milliseconds", once: bool = False, on_change: Callable[[DataFrame, int], None] | None = None, on_update: Callable[[DataFrame, int], None] | None = None):
+        """A streaming query that compares the folder with the store at every tick; ``on_update`` gets :meth:`updates` of each run that changed something."""
 
         def tick(_: DataFrame, epoch: int) -> None:
             changes = self.sync(root)
             if on_change is not None:
                 on_change(changes, epoch)
+            if on_update is not None and not changes.isEmpty():
+                on_update(self.updates(root, changes), epoch)
 
         ticks = self.store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
         writer = ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
