@@ -2,9 +2,12 @@
 
 Unit vectors are assigned to pivots. If two vectors lie within the angle T of each other and
 one lies at angle d from its nearest pivot, the other's pivot is at most d + 2T away from the
-first, so a vector only has to visit the pivots within that angle. A pivot's vectors form a
+first; and a pivot whose vectors lie within the angle r holds nothing for a vector that is more
+than r + T away from it. A vector visits the pivots that pass both bounds, and of the two pivots of a pair
+only the one of lower number is visited. A pivot's vectors form a
 block that stays in a task while the visitors stream past it; large blocks are split by hash
-and visitors go to every split.
+and visitors go to every split. The number of pivots grows with the rows,
+up to an eighth of the sample.
 """
 
 from __future__ import annotations
@@ -61,7 +64,7 @@ def _pivots(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
-def similarity_join(df: DataFrame, id_col: str, vec_col: str, threshold: float, dim: int = 64, block: int = 8192, sample: int = 20_000, max_pivots: int = 512, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+def similarity_join(df: DataFrame, id_col: str, vec_col: str, threshold: float, dim: int = 64, block: int = 8192, sample: int = 20_000, seed: int = 3) -> tuple[DataFrame, DataFrame]:
     """Pairs ``(a, b, cosine)`` of distinct directions with cosine ``threshold`` or more, and ``(id, class)``.
 
     Rows whose vectors point the same way form a class named by its smallest id; pairs are
@@ -76,18 +79,21 @@ def similarity_join(df: DataFrame, id_col: str, vec_col: str, threshold: float,
         return spark.createDataFrame([], "a string, b string, cosine double"), members
     got = classes.select("v").where(F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(max(1, n // sample))) == 0).limit(sample).collect() or classes.select("v").limit(1).collect()
     known = np.frombuffer(b"".join(bytes(r.v) for r in got), np.float32).reshape(-1, dim).astype(np.float64)
-    pivots = _pivots(known, int(min(max_pivots, max(1, n // 2000), len(known))), np.random.default_rng(seed))
-    reach = 2 * np.arccos(np.clip(threshold, -1, 1)) + 1e-5
+    pivots = _pivots(known, int(min(max(1, n // 2000), max(1, len(known) // 8))), np.random.default_rng(seed))
+    link = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-5
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = vector_rows(b.column("v"), dim)
-            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("v"), pa.array(np.argmax(x @ pivots.T, 1).astype(np.int32))], ["class", "v", "home"])
-
-    placed = materialize(classes.mapInArrow(place, "class string, v binary, home int"), "vj-placed")
-    held = np.zeros(len(pivots), np.int64)
-    for r in placed.groupBy("home").count().collect():
-        held[r.home] = r["count"]
+            s = x @ pivots.T
+            home = np.argmax(s, 1)
+            away = np.arccos(np.clip(s[np.arange(len(x)), home], -1, 1)) if len(x) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("v"), pa.array(home.astype(np.int32)), pa.array(away)], ["class", "v", "home", "away"])
+
+    placed = materialize(classes.mapInArrow(place, "class string, v binary, home int, away double"), "vj-placed")
+    held, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in placed.groupBy("home").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect():  # one row a pivot
+        held[r.home], radius[r.home] = r.n, r.away
     splits = np.maximum(1, -(-held // block))
     first = np.concatenate([[0], np.cumsum(splits)])[:-1]
 
@@ -97,24 +103,25 @@ def similarity_join(df: DataFrame, id_col: str, vec_col: str, threshold: float,
             salt = b.column("salt").to_numpy().view(np.uint64)
             own = first[home] + (salt % splits[home].astype(np.uint64)).astype(np.int64)
             angle = np.arccos(np.clip(x @ pivots.T, -1, 1))
-            i, j = np.nonzero((angle <= angle.min(1, keepdims=True) + reach) & (held > 0)[None, :])
+            near = (angle <= angle.min(1, keepdims=True) + 2 * link) & (angle <= radius + link) & (held > 0)[None, :]
+            i, j = np.nonzero(near & (np.arange(len(pivots))[None, :] <= home[:, None]))
             row = np.repeat(i, splits[j])
             at = np.repeat(first[j], splits[j]) + np.arange(len(row)) - np.repeat(np.cumsum(splits[j]) - splits[j], splits[j])
             rows = np.concatenate([np.arange(b.num_rows), row])
             kind = np.concatenate([np.zeros(b.num_rows, np.int8), np.ones(len(row), np.int8)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, at]).astype(np.int32)), pa.array(kind), b.column("class").take(pa.array(rows)), vector_bytes(x[rows])], ["block", "kind", "class", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, at]).astype(np.int32)), pa.array(kind), b.column("class").take(pa.array(rows)), pa.array(home[rows]), vector_bytes(x[rows])], ["block", "kind", "class", "home", "v"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, names, vectors, matrix = None, [], [], None
+        current, names, vectors, matrix, own = None, [], [], None, -1
         for b in batches:
             blocks, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
-            x, ids = vector_rows(b.column("v"), dim), np.array(b.column("class").to_pylist(), object)
+            x, ids, home = vector_rows(b.column("v"), dim), np.array(b.column("class").to_pylist(), object), b.column("home").to_numpy()
             change = np.flatnonzero(np.diff(blocks.astype(np.int64) * 2 + kind)) + 1
             for lo, hi in zip(np.append(0, change), np.append(change, len(blocks)), strict=True):
                 if lo == hi:
                     continue
                 if blocks[lo] != current:
-                    current, names, vectors, matrix = blocks[lo], [], [], None
+                    current, names, vectors, matrix, own = blocks[lo], [], [], None, home[lo]
                 if kind[lo] == 0:
                     names.append(ids[lo:hi])
                     vectors.append(x[lo:hi].copy())
@@ -124,12 +131,13 @@ def similarity_join(df: DataFrame, id_col: str, vec_col: str, threshold: float,
                 for p in range(lo, hi, 256):
                     s = x[p : min(p + 256, hi)].astype(np.float64) @ matrix.T
                     i, j = np.nonzero(s >= threshold - 1e-9)
-                    ok = ids[p + i] < who[j]
+                    low = ids[p + i] < who[j]
+                    ok = low | (home[p + i] != own)  # within a pivot both rows visit
                     if ok.any():
-                        i, j = i[ok], j[ok]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[p + i], pa.string()), pa.array(who[j], pa.string()), pa.array(s[i, j])], ["a", "b", "cosine"])
+                        i, j, low = i[ok], j[ok], low[ok]
+                        a, b_ = np.where(low, ids[p + i], who[j]), np.where(low, who[j], ids[p + i])
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b_, pa.string()), pa.array(s[i, j])], ["a", "b", "cosine"])
 
-    routed = placed.withColumn("salt", F.xxhash64("class")).mapInArrow(route, "block int, kind byte, class string, v binary")
-    parts = int(min(3 * splits.sum(), 4000)) if len(splits) > 1 or splits.sum() > 1 else 1
-    routed = routed.repartition(parts, "block").sortWithinPartitions("block", "kind")
+    routed = placed.withColumn("salt", F.xxhash64("class")).mapInArrow(route, "block int, kind byte, class string, home int, v binary")
+    routed = routed.repartitionById(int(splits.sum()), F.col("block")).sortWithinPartitions("block", "kind")
     return routed.mapInArrow(meet, "a string, b string, cosine double"), members
