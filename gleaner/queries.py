@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,9 @@ from gleaner.operators import fulltext as X
 from gleaner.operators import search as S
 from gleaner.operators import store as K
 from gleaner.plans import dsl, organize
-from gleaner.runtime import materialize, table
+from gleaner.runtime import materialize, shared_dir, table
 from gleaner.sources import files as SRC
+from gleaner.sources import logs as L
 from gleaner.streaming import indexer as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,9 +68,21 @@ _UNIQUE_CHUNKS = "c AS (SELECT DISTINCT ON (chunk_id) * FROM chunks ORDER BY chu
 _EXT = "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '.\\.([^.]+)$', 1))"
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with one row per id, the latest."""
-    return K.latest(table(spark, d, "chunks"), "chunk_id", "indexed_at")
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Chunks with one row per id, the latest; only the columns asked for are read and moved."""
+    rows = table(spark, d, "chunks")
+    return K.latest(rows.select("chunk_id", *columns, "indexed_at") if columns else rows, "chunk_id", "indexed_at")
+
+
+_stored: dict[tuple[str, str], X.StoredIndex] = {}
+
+
+def _index(spark: SparkSession, d: str) -> X.StoredIndex:
+    """The stored full-text index of the documents; written when a session first asks for it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _stored:
+        _stored[key] = X.StoredIndex.build(table(spark, d, "documents"), "doc_id", "text", f"{shared_dir(spark)}/fulltext-{uuid.uuid4().hex}")
+    return _stored[key]
 
 
 def _vector(spark: SparkSession, d: str, vec_id: int) -> list[float]:
@@ -126,7 +140,8 @@ def batch_topk_per_query(spark: SparkSession, d: str) -> DataFrame:
 def dsl_filtered_search(spark: SparkSession, d: str) -> DataFrame:
     """A query string whose filters apply before the best are chosen."""
     q = dsl.parse("lang:rs path:/corpus/ path:/corpus/*/src/** depth:2 limit:15")
-    found = S.search(_chunks(spark, d), S.SearchRequest(_vector(spark, d, 1), q.text, q.limit, q.filters))
+    rows = _chunks(spark, d, "file_path", "language", "depth", "embedding")
+    found = S.search(rows, S.SearchRequest(_vector(spark, d, 1), q.text, q.limit, q.filters))
     return found.select("chunk_id", "file_path", F.round("score", 6).alias("score"))
 
 
@@ -139,7 +154,8 @@ def dsl_filtered_search(spark: SparkSession, d: str) -> DataFrame:
 def search_modified_after(spark: SparkSession, d: str) -> DataFrame:
     """Filters on modification time and type."""
     filters = [dsl.Filter("after", "2026-01-01 00:00:00"), dsl.Filter("mime", "markdown")]
-    found = S.search(_chunks(spark, d), S.SearchRequest(_vector(spark, d, 2), None, 12, filters), table(spark, d, "files"))
+    rows = _chunks(spark, d, "file_path", "file_mime_type", "content_type", "embedding")
+    found = S.search(rows, S.SearchRequest(_vector(spark, d, 2), None, 12, filters), table(spark, d, "files"))
     return found.select("chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -165,7 +181,8 @@ _BM25 = f"""{_TOKENS}, n AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM
 
 @query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm ORDER BY bm.bm25 DESC, doc_id LIMIT 20")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = X.bm25(table(spark, d, "documents"), "doc_id", "text", _WORDS)
+    """The best of BM25 over the stored index, whose postings of the query's terms are all that is read."""
+    found = _index(spark, d).search(_WORDS)
     return found.orderBy(F.desc("bm25"), "id").limit(20).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
@@ -189,7 +206,7 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Vector and full-text lists fused by reciprocal rank."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text").withColumn("v", V.hash_embed("text", 32))
     vector = list(spark.range(1).select(V.hash_embed(F.lit(_WORDS), 32).alias("v")).first().v)
-    found = S.hybrid(docs, _WORDS, vector, 10, 50, "text", "v", "doc_id")
+    found = S.hybrid(docs, _WORDS, vector, 10, 50, "text", "v", "doc_id", index=_index(spark, d))
     return found.select("doc_id", F.round("vector_score", 6).alias("vector_score"), F.round("bm25", 6).alias("bm25"), F.round("rrf_score", 8).alias("rrf_score"))
 
 
@@ -280,7 +297,7 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def code_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Code by its symbols."""
-    code = _chunks(spark, d).where(F.col("content_type").startswith("code:")).select("chunk_id", "content_type", F.col("content").alias("text"))
+    code = _chunks(spark, d, "content_type", "content").where(F.col("content_type").startswith("code:")).select("chunk_id", "content_type", F.col("content").alias("text"))
     return C.chunk_documents(code).select("chunk_id", F.col("chunk_index"), "symbol_type", "symbol_name", "start_byte", "end_byte")
 
 
@@ -317,7 +334,7 @@ def paragraph_elements(spark: SparkSession, d: str) -> DataFrame:
 )
 def linked_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Each chunk with the one before and after it."""
-    return C.linked(_chunks(spark, d)).select("chunk_id", "previous_id", "next_id")
+    return C.linked(_chunks(spark, d, "file_path", "chunk_index")).select("chunk_id", "previous_id", "next_id")
 
 
 @query(
@@ -326,7 +343,7 @@ def linked_chunks(spark: SparkSession, d: str) -> DataFrame:
                CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS preview FROM s"""
 )
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("chunk_id", T.snippet(F.col("content"), 100).alias("snippet"), T.preview(F.col("content"), 200).alias("preview"))
+    return _chunks(spark, d, "content").select("chunk_id", T.snippet(F.col("content"), 100).alias("snippet"), T.preview(F.col("content"), 200).alias("preview"))
 
 
 # ---------------------------------------------------------------- paths
@@ -366,7 +383,7 @@ _CENTROIDS = f"""{_UNIQUE_CHUNKS}, u AS (SELECT file_path AS path, unnest(embedd
 
 @query(f"WITH {_CENTROIDS} SELECT path, round(centroid[1], 6) AS first, round(centroid[64], 6) AS last, round(list_sum(centroid), 5) AS total FROM cen")
 def file_centroids(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.file_centroids(_chunks(spark, d))
+    rows = A.file_centroids(_chunks(spark, d, "file_path", "embedding"))
     total = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x)
     return rows.select("path", F.round(F.col("centroid")[0], 6).alias("first"), F.round(F.col("centroid")[63], 6).alias("last"), F.round(total, 5).alias("total"))
 
@@ -377,7 +394,7 @@ _PAIRS = f"""{_CENTROIDS}, k AS (SELECT path, centroid, min(path) OVER (PARTITIO
 
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    pairs, members = A.duplicate_pairs(A.file_centroids(_chunks(spark, d)), 0.95)
+    pairs, members = A.duplicate_pairs(A.file_centroids(_chunks(spark, d, "file_path", "embedding")), 0.95)
     return materialize(pairs, "q-pairs"), members
 
 
@@ -403,7 +420,17 @@ def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     return A.duplicate_components(*_pairs(spark, d))
 
 
-@query()
+_GREEDY = f"""{_CENTROIDS}, k AS (SELECT path, centroid FROM cen WHERE list_sum(list_transform(centroid, lambda x: x * x)) > 0),
+    pr AS (SELECT a.path AS a, b.path AS b, {_dot("a.centroid", "b.centroid")} AS cosine FROM k a JOIN k b ON a.path < b.path WHERE {_dot("a.centroid", "b.centroid")} >= 0.95),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY a, b) AS i FROM pr),
+    st AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, false AS taken
+      UNION ALL SELECT o.i, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN used ELSE list_concat(used, [a, b]) END, NOT (list_contains(used, a) OR list_contains(used, b)) FROM st JOIN o ON o.i = st.i + 1),
+    sz AS (SELECT path, max(size_bytes) AS size FROM files GROUP BY path),
+    gr AS (SELECT a, b, cosine, coalesce(x.size, 0) AS sa, coalesce(y.size, 0) AS sb FROM o JOIN st USING (i) LEFT JOIN sz x ON x.path = a LEFT JOIN sz y ON y.path = b WHERE taken),
+    dup AS (SELECT CASE WHEN sb > sa THEN b ELSE a END AS representative, CASE WHEN sb > sa THEN a ELSE b END AS duplicate, round(cosine, 5) AS cosine, least(sa, sb)::BIGINT AS wasted FROM gr)"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT * FROM dup")
 def duplicate_groups_greedy(spark: SparkSession, d: str) -> DataFrame:
     """Representative and duplicate, each file used once."""
     sizes = table(spark, d, "files").select("path", F.col("size_bytes").alias("size"))
@@ -411,33 +438,37 @@ def duplicate_groups_greedy(spark: SparkSession, d: str) -> DataFrame:
     return A.greedy_groups(pairs, sizes, members).withColumn("cosine", F.round("cosine", 5))
 
 
-@query()
+@query(f'WITH RECURSIVE {_GREEDY} SELECT count(DISTINCT representative) AS "groups", count(*) AS duplicates, coalesce(sum(wasted), 0)::BIGINT AS wasted FROM dup')
 def duplicate_totals(spark: SparkSession, d: str) -> DataFrame:
     return A.duplicate_totals(duplicate_groups_greedy(spark, d))
 
 
-@query(
-    f"""WITH l AS (SELECT path, max(struct_pack(m := modified_at, s := size_bytes)) AS f FROM files WHERE path IS NOT NULL GROUP BY path),
-        x AS (SELECT path, f.s AS size, f.m AS m, lower(regexp_extract(path, '([^/]*)$', 1)) AS name FROM l),
-        r AS (SELECT path, size, CASE WHEN size = 0 THEN 'empty' WHEN regexp_matches(name, '([.](tmp|temp|bak|swp|orig)|~)$') THEN 'temporary'
-              WHEN regexp_matches(path, '(^|/)(build|dist|target|out|node_modules|__pycache__)/') OR regexp_matches(name, '[.](o|pyc|class|min[.]js|min[.]css)$') THEN 'generated'
-              WHEN m < TIMESTAMPTZ '{NOW}+00' - INTERVAL 365 DAY THEN 'stale' END AS reason FROM x)
-        SELECT path, reason, size, NULL::VARCHAR AS other FROM r WHERE reason IS NOT NULL"""
-)
+_CLEANUP = f"""l AS (SELECT path, max(struct_pack(m := modified_at, s := size_bytes)) AS f FROM files WHERE path IS NOT NULL GROUP BY path),
+    x AS (SELECT path, f.s AS size, f.m AS m, lower(regexp_extract(path, '([^/]*)$', 1)) AS name FROM l),
+    r AS (SELECT path, size, CASE WHEN size = 0 THEN 'empty' WHEN regexp_matches(name, '([.](tmp|temp|bak|swp|orig)|~)$') THEN 'temporary'
+      WHEN regexp_matches(path, '(^|/)(build|dist|target|out|node_modules|__pycache__)/') OR regexp_matches(name, '[.](o|pyc|class|min[.]js|min[.]css)$') THEN 'generated'
+      WHEN m < TIMESTAMPTZ '{NOW}+00' - INTERVAL 365 DAY THEN 'stale' END AS reason FROM x)"""
+
+
+@query(f"WITH {_CLEANUP} SELECT path, reason, size, NULL::VARCHAR AS other FROM r WHERE reason IS NOT NULL")
 def cleanup_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Files that could go, without duplicates."""
     return A.cleanup_candidates(table(spark, d, "files"), now=NOW)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_GREEDY}, {_CLEANUP}, d AS (SELECT DISTINCT duplicate AS path FROM dup), y AS (SELECT r.path, CASE WHEN d.path IS NOT NULL THEN 'duplicate' ELSE reason END AS reason FROM r LEFT JOIN d USING (path))
+        SELECT 'delete' AS action, path AS source, NULL::VARCHAR AS target, CASE WHEN reason IN ('duplicate', 'empty') THEN 1.0::DOUBLE ELSE 0.5 END AS confidence, reason FROM y WHERE reason IS NOT NULL"""
+)
 def cleanup_plan(spark: SparkSession, d: str) -> DataFrame:
     """Delete actions for duplicates and other candidates."""
     return organize.deletions(A.cleanup_candidates(table(spark, d, "files"), duplicate_groups_greedy(spark, d), now=NOW))
 
 
-def _kmeans_sql(k: int, rounds: int) -> str:
+def _kmeans_sql(k: int, rounds: int, source: str = "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings", before: str = "") -> str:
+    """Common table expressions that end in ``topics (id, topic, similarity)``."""
     parts = [
-        f"""e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS p, count(*) OVER () AS n FROM embeddings),
+        f"""{before}src AS ({source}), e AS (SELECT id, v, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS n FROM src),
         c0 AS (SELECT j, e.v AS c FROM e, (SELECT unnest(range(0, {k})) AS j) WHERE p = j * least(CASE WHEN n > {k} THEN n // {k} ELSE 1 END, n - 1))"""
     ]
     for r in range(rounds):
@@ -449,10 +480,11 @@ def _kmeans_sql(k: int, rounds: int) -> str:
         )
     last = f"s{rounds}"
     parts.append(f"{last} AS (SELECT id, j, {_cos('v', 'c')} AS s FROM e, c{rounds})")
-    return f"WITH {', '.join(parts)} SELECT id AS vec_id, arg_min(j, struct_pack(a := -s, b := j))::INT AS topic, round(max(s), 5) AS similarity FROM {last} GROUP BY id"
+    parts.append(f"topics AS (SELECT id, arg_min(j, struct_pack(a := -s, b := j))::INT AS topic, max(s) AS similarity FROM {last} GROUP BY id)")
+    return ", ".join(parts)
 
 
-@query(_kmeans_sql(6, 5))
+@query(f"WITH {_kmeans_sql(6, 5)} SELECT id AS vec_id, topic, round(similarity, 5) AS similarity FROM topics")
 def kmeans_topics(spark: SparkSession, d: str) -> DataFrame:
     """Five rounds of spherical k-means with six topics."""
     topics, _ = A.kmeans_topics(table(spark, d, "embeddings"), "vec_id", "embedding", 6)
@@ -480,6 +512,14 @@ def by_type_plan(spark: SparkSession, d: str) -> DataFrame:
     return organize.by_type(table(spark, d, "files"), "/corpus").drop("reason")
 
 
+@query(f"WITH {_BY_TYPE} SELECT 'tidy' AS plan_id, sum((action = 'mkdir')::INT)::BIGINT AS mkdir, sum((action = 'move')::INT)::BIGINT AS move, 0::BIGINT AS \"delete\" FROM act")
+def kept_plan(spark: SparkSession, d: str) -> DataFrame:
+    """A plan written for review, read back and summed up."""
+    folder = f"{shared_dir(spark)}/plans-{uuid.uuid4().hex}"
+    L.write_plan(organize.by_type(table(spark, d, "files"), "/corpus"), folder, "tidy", "by type")
+    return L.summarize_plans(L.read_plans(spark, folder)).select("plan_id", "mkdir", "move", "delete")
+
+
 @query(
     f"""WITH {_BY_TYPE} SELECT sum((action = 'move')::INT)::BIGINT AS files_affected, sum((action = 'mkdir')::INT)::BIGINT AS dirs_created,
         sum((action = 'move')::INT)::BIGINT AS files_moved, 0::BIGINT AS files_deleted FROM act"""
@@ -507,15 +547,30 @@ def by_project_plan(spark: SparkSession, d: str) -> DataFrame:
     return organize.by_project(table(spark, d, "files"), "/corpus").drop("reason")
 
 
-@query()
+_TOPICS = _kmeans_sql(8, 5, "SELECT path AS id, centroid AS v FROM cen WHERE path = '/corpus' OR starts_with(path, '/corpus/')", f"{_CENTROIDS}, ")
+_NAME = "regexp_extract({}, '([^/]*)$', 1)"
+
+
+@query(
+    f"""WITH {_TOPICS}, mv AS (SELECT id, '/corpus/topic_' || (topic + 1) || '/' || {_NAME.format("id")} AS target, greatest(similarity, 0.7) AS s, 'nearest topic ' || (topic + 1) AS reason FROM topics)
+        SELECT 'mkdir' AS action, NULL::VARCHAR AS source, '/corpus/topic_' || (j + 1) AS target, 1.0::DOUBLE AS confidence, 'folder for topic ' || (j + 1) AS reason FROM c5
+        UNION ALL SELECT 'move', id, target, round(s, 5), reason FROM mv WHERE id <> target"""
+)
 def by_topic_plan(spark: SparkSession, d: str) -> DataFrame:
-    return organize.by_topic(A.file_centroids(_chunks(spark, d)), "/corpus", 8).withColumn("confidence", F.round("confidence", 5))
+    return organize.by_topic(A.file_centroids(_chunks(spark, d, "file_path", "embedding")), "/corpus", 8).withColumn("confidence", F.round("confidence", 5))
 
 
-@query()
+@query(
+    f"""WITH {_CENTROIDS}, q AS (SELECT 'category_' || vec_id AS c, vec_id AS i, embedding AS cv FROM embeddings WHERE vec_id < 3),
+        s AS (SELECT path, i, c, {_cos("centroid", "cv")} AS s FROM cen, q WHERE path = '/corpus' OR starts_with(path, '/corpus/')),
+        b AS (SELECT path, max(struct_pack(s := s, i := i, c := c)) AS b FROM s GROUP BY path),
+        mv AS (SELECT path, '/corpus/' || b.b.c || '/' || {_NAME.format("path")} AS target, b.b.s AS s, 'nearest category ' || b.b.c AS reason FROM b)
+        SELECT 'mkdir' AS action, NULL::VARCHAR AS source, '/corpus/' || c AS target, 1.0::DOUBLE AS confidence, 'folder for ' || c AS reason FROM q
+        UNION ALL SELECT 'move', path, target, round(s, 5), reason FROM mv WHERE path <> target"""
+)
 def by_category_plan(spark: SparkSession, d: str) -> DataFrame:
     names = {f"category_{i}": _vector(spark, d, i) for i in range(3)}
-    return organize.by_category(A.file_centroids(_chunks(spark, d)), "/corpus", names, -1.0).withColumn("confidence", F.round("confidence", 5))
+    return organize.by_category(A.file_centroids(_chunks(spark, d, "file_path", "embedding")), "/corpus", names, -1.0).withColumn("confidence", F.round("confidence", 5))
 
 
 @query(
@@ -535,24 +590,93 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
        SELECT file_path, count(*) AS chunks, sum(strlen(content))::BIGINT AS bytes, max(indexed_at) AS last FROM l WHERE r = 1 GROUP BY file_path"""
 )
 def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Later rows of a chunk replace earlier ones."""
+    """A stored table that gets the first version of every chunk, and then the latest one of those that came twice."""
     rows = table(spark, d, "chunks")
-    newest = K.latest(rows, "chunk_id", "indexed_at")
-    out = K.upsert(rows.dropDuplicates(["chunk_id"]), newest, "chunk_id")
+    store = _store(spark)
+    store.upsert_chunks(K.latest(rows.withColumn("_age", -F.unix_micros("indexed_at")), "chunk_id", "_age").drop("_age"))
+    again = rows.join(rows.groupBy("chunk_id").agg(F.count("*").alias("_n")).where("_n > 1").select("chunk_id"), "chunk_id", "left_semi")
+    store.upsert_chunks(K.latest(again, "chunk_id", "indexed_at"))
+    out = store.read("chunks")
     return out.groupBy("file_path").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("content").cast("long")).alias("bytes"), F.max("indexed_at").alias("last"))
 
 
+def _store(spark: SparkSession) -> K.TableStore:
+    """An empty store below the shared folder."""
+    return K.TableStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+def _filled(spark: SparkSession, d: str) -> K.TableStore:
+    """A store with the latest row of every chunk and file."""
+    store, files = _store(spark), table(spark, d, "files").where("path is not null")
+    store.upsert_chunks(_chunks(spark, d, "file_id", "file_path", "content", "content_type", "chunk_index"))
+    store.upsert_files(K.latest(files.withColumn("_at", F.coalesce("indexed_at", F.lit("1970-01-01").cast("timestamp"))), "path", "_at", "modified_at", "file_id").drop("_at"))
+    return store
+
+
 _HOT = "/corpus/quarry/journal/agent_sessions.md"
+_KEPT = "k AS (SELECT CASE WHEN file_path = '{hot}' THEN '/corpus/renamed.md' ELSE file_path END AS file_path, count(DISTINCT chunk_id) AS rows FROM chunks WHERE file_path IS NOT NULL GROUP BY 1)"
+_RECORDS = "r AS (SELECT DISTINCT CASE WHEN path = '{hot}' THEN '/corpus/renamed.md' ELSE path END AS path FROM files WHERE path IS NOT NULL)"
 
 
-@query(f"SELECT CASE WHEN file_path = '{_HOT}' THEN '/corpus/renamed.md' ELSE file_path END AS file_path, count(*) AS rows FROM chunks GROUP BY 1")
+@query(f"WITH {_KEPT.format(hot=_HOT)}, {_RECORDS.format(hot=_HOT)} SELECT r.path AS file_path, coalesce(rows, 0) AS rows FROM r LEFT JOIN k ON k.file_path = r.path")
 def rename_path(spark: SparkSession, d: str) -> DataFrame:
-    return K.renamed(table(spark, d, "chunks"), _HOT, "/corpus/renamed.md").groupBy("file_path").agg(F.count("*").alias("rows"))
+    """A stored file under another path: its chunks and its record move, all others stay."""
+    store = _filled(spark, d)
+    store.rename(_HOT, "/corpus/renamed.md")
+    held = store.read("chunks").groupBy("file_path").agg(F.count("*").alias("rows"))
+    return store.read("files").select(F.col("path").alias("file_path")).join(held, "file_path", "left").select("file_path", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
-@query(f"SELECT file_path, count(*) AS rows FROM chunks WHERE file_path IS DISTINCT FROM '{_HOT}' GROUP BY 1")
+@query(f"SELECT file_path, count(DISTINCT chunk_id) AS rows FROM chunks WHERE file_path <> '{_HOT}' GROUP BY 1")
 def delete_path(spark: SparkSession, d: str) -> DataFrame:
-    return K.without_path(table(spark, d, "chunks"), _HOT).groupBy("file_path").agg(F.count("*").alias("rows"))
+    """A stored file removed with its chunks."""
+    store = _filled(spark, d)
+    store.delete(_HOT)
+    return store.read("chunks").join(store.read("files").select(F.col("path").alias("file_path")), "file_path", "left_semi").groupBy("file_path").agg(F.count("*").alias("rows"))
+
+
+@query(f"SELECT chunk_id, chunk_index, md5(any_value(content)) AS digest FROM chunks WHERE file_path = '{_HOT}' GROUP BY 1, 2")
+def chunks_of_path(spark: SparkSession, d: str) -> DataFrame:
+    """The stored chunks of one file; one bucket is read."""
+    return _filled(spark, d).chunks_of(_HOT).select("chunk_id", "chunk_index", F.md5("content").alias("digest"))
+
+
+@query(
+    f"""WITH l AS (SELECT path, arg_max(struct_pack(f := file_id, h := content_hash, s := status, n := chunk_count),
+          struct_pack(i := coalesce(indexed_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'), m := modified_at, f := file_id)) AS r FROM files WHERE path = '{_HOT}' GROUP BY path)
+        SELECT path, r.f AS file_id, r.h AS content_hash, r.s AS status, r.n AS chunk_count FROM l"""
+)
+def file_record(spark: SparkSession, d: str) -> DataFrame:
+    """The stored record of one file."""
+    return _filled(spark, d).file(_HOT).select("path", "file_id", "content_hash", "status", "chunk_count")
+
+
+@query("SELECT (SELECT count(DISTINCT chunk_id) FROM chunks WHERE file_path IS NOT NULL) AS chunks, (SELECT count(DISTINCT path) FROM files WHERE path IS NOT NULL) AS files, true AS has_bytes")
+def store_stats(spark: SparkSession, d: str) -> DataFrame:
+    """What a store holds."""
+    return _filled(spark, d).stats().select("chunks", "files", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+_CTOK = "tok AS (SELECT chunk_id, any_value(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS t FROM chunks WHERE content IS NOT NULL AND file_path IS NOT NULL GROUP BY chunk_id), d AS (SELECT chunk_id, t, len(t) AS dl FROM tok WHERE len(t) > 0)"
+
+
+@query(
+    f"""WITH {_CTOK}, n AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM d), tf AS (SELECT chunk_id, dl, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, (SELECT unnest(string_split('{_WORDS}', ' ')) AS term)),
+        df AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY term)
+        SELECT chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM tf JOIN df USING (term), n WHERE tf > 0 GROUP BY chunk_id"""
+)
+def store_fulltext(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over the full-text index that a store keeps of its chunks."""
+    found = _filled(spark, d).fulltext().search(_WORDS)
+    return found.select(F.col("id").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
+
+
+@query("WITH h AS (SELECT DISTINCT * FROM op_history WHERE entry_id IS NOT NULL) SELECT operation, count(*) AS entries, count(undo_data) AS with_undo FROM h GROUP BY 1")
+def history_log(spark: SparkSession, d: str) -> DataFrame:
+    """Operations appended to a log of JSON lines and read back."""
+    folder = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    L.append_history(table(spark, d, "op_history").where("entry_id is not null").distinct(), folder)
+    return L.read_history(spark, folder).groupBy("operation").agg(F.count("*").alias("entries"), F.count("undo_data").alias("with_undo"))
 
 
 def _snapshot(files: DataFrame) -> DataFrame:
@@ -611,13 +735,9 @@ def debounced_events(spark: SparkSession, d: str) -> DataFrame:
     return I.debounced(table(spark, d, "file_feed").where("path is not null"), quiet="10 minutes").select("path", "events", "started", "settled")
 
 
-@query()
+@query("SELECT date_trunc('hour', seen_at) AS started, kind, count(*) AS events FROM file_feed GROUP BY 1, 2")
 def streamed_feed(spark: SparkSession, d: str) -> DataFrame:
     """The change feed through Structured Streaming: hourly counts of the whole feed."""
-    import uuid
-
-    from gleaner.runtime import shared_dir
-
     feed = spark.readStream.schema(table(spark, d, "file_feed").schema).parquet(f"{d}/file_feed*.parquet" if not d.endswith(".parquet") else d)
     name = f"feed_{uuid.uuid4().hex}"
     counts = I.windowed_counts(feed)
