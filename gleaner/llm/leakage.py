@@ -7,7 +7,9 @@ marked words of a passage are its coverage, which a passage in changed order als
 
 Scale: documents are scanned once where they lie. The seeds of the passages travel to the
 tasks only after their size has been checked against ``MAX_ITEM_BYTES``; a larger test set
-takes the other way, an equi-join on winnowed seeds, which both sides select alike.
+takes the other way, an equi-join on winnowed seeds, which both sides select alike. A seed that a
+large share of the documents has (boilerplate, found on a deterministic sample) is salted: its documents are spread over
+``SALT`` tasks, each of which gets the passages that have it.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.words import ALNUM, Words, pieces
-from gleaner.runtime import spread
+from gleaner.runtime import materialize, spread
 
 #: Test texts of at most this many bytes together are sent to every task.
 MAX_ITEM_BYTES = 32 << 20
+#: Of one document in SAMPLE, how many must have a seed for it to be salted, and over how many tasks.
+SAMPLE, HOT, SALT = 64, 512, 64
 
 RESULT = "doc_id long, item_id long, tiles int, longest int, covered int, item_words int, coverage double"
 
@@ -192,7 +196,14 @@ def leaked_items(
     else:
         a = d.mapInArrow(_winnow(run), "id long, h long")
         b = i.mapInArrow(_winnow(run), "id long, h long")
-        near = a.join(b.withColumnRenamed("id", "item_id"), "h").select(F.col("id").alias("doc_id"), "item_id").distinct()
+        b = b.withColumnRenamed("id", "item_id")
+        seen = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_winnow(run), "id long, h long").join(b.select("h").distinct(), "h", "left_semi")
+        hot = materialize(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h", F.lit(True).alias("hot")), "lk-hot")
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")
+        a = a.join(hot, "h", "left").select("id", "h", F.when(F.col("hot"), salt).otherwise(F.lit(0)).alias("salt"))
+        every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+        b = b.join(hot, "h", "left").select("item_id", "h", F.explode(every).alias("salt"))
+        near = a.join(b, ["h", "salt"]).select(F.col("id").alias("doc_id"), "item_id").distinct()
         found = near.join(d, "doc_id").join(i, "item_id").select("doc_id", "text", "item_id", "item").mapInArrow(_pair_scan(run), RESULT)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "longest", "tiles", "item_words", "coverage")).alias("m"))
     return best.where(F.col("m.coverage") >= min_coverage).select("doc_id", "item_id", "m.tiles", "m.longest", "m.covered", "m.item_words", "m.coverage")

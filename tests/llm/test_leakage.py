@@ -76,3 +76,17 @@ def test_empty(spark):
     assert leakage.leaked_items(spark.createDataFrame([(1, "a " * 20)], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         leakage.leaked_items(d, i, run=1)
+
+
+def test_shared_seeds_are_salted_without_loss(spark, monkeypatch):
+    """A seed that many documents have is spread over tasks; the pairs stay the same."""
+    rng = random.Random(8)
+    boiler = " ".join(f"b{i}" for i in range(15))
+    docs = [(i, f"{boiler} " + " ".join(rng.choice("pqrst") + str(rng.randint(0, 99)) for _ in range(20))) for i in range(40)]
+    items = [(k, f"x{k} y{k} {boiler} z{k}") for k in range(5)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    plain = {(r.doc_id, r.item_id, r.covered) for r in leakage.leaked_items(d, i, max_item_bytes=0).collect()}
+    monkeypatch.setattr(leakage, "SAMPLE", 1)
+    monkeypatch.setattr(leakage, "HOT", 10)
+    monkeypatch.setattr(leakage, "SALT", 4)
+    assert plain == {(r.doc_id, r.item_id, r.covered) for r in leakage.leaked_items(d, i, max_item_bytes=0).collect()} == {(a, b, 15) for a in range(40) for b in range(5)}
