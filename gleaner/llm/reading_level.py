@@ -6,7 +6,7 @@ other node takes the weighted mean of its neighbours, and rounds of this approac
 harmonic function: words of demanding documents become demanding, and documents take on the
 difficulty of their words. Cut points between levels are then fitted to the graded documents.
 
-Scale: words are hashed to ``BUCKETS`` nodes, so the word scores that go to the tasks and
+Scale: words are hashed to ``buckets`` nodes (a parameter; ``BUCKETS`` unless given, to be raised with the vocabulary), so the word scores that go to the tasks and
 come back as sums have a fixed size whatever the corpus; the documents' side never moves. A
 round is one pass over packed counts. Hot words cost nothing, as sums are made per task.
 """
@@ -54,7 +54,7 @@ def prose(text: str) -> str | None:
     return kept if len(kept) >= 0.5 * len(whole) else None
 
 
-def bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str, buckets: int = BUCKETS, min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, words)`` of English prose: ascending word buckets (4 bytes each), then counts (4 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,12 +64,12 @@ def bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
             for lo, hi in pieces(texts):
                 w = Words(texts[lo:hi], _LATIN)
                 n = np.bincount(w.doc, minlength=hi - lo) if len(w.doc) else np.zeros(hi - lo, np.int64)
-                key = w.doc.astype(np.int64) * BUCKETS + (w.hash % np.uint64(BUCKETS)).astype(np.int64)
+                key = w.doc.astype(np.int64) * buckets + (w.hash % np.uint64(buckets)).astype(np.int64)
                 key, count = np.unique(key, return_counts=True)
-                doc, bucket = key // BUCKETS, (key % BUCKETS).astype(np.int32)
+                doc, bucket = key // buckets, (key % buckets).astype(np.int32)
                 count = count.astype(np.uint32)
                 first = np.searchsorted(doc, np.arange(hi - lo + 1))
-                for i in np.flatnonzero(n >= MIN_WORDS):
+                for i in np.flatnonzero(n >= min_words):
                     s = slice(first[i], first[i + 1])
                     keep.append(lo + int(i))
                     packed.append(bucket[s].tobytes() + count[s].tobytes())
@@ -102,7 +102,7 @@ def _means(row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, score: np.nd
     return np.where(total > 0, np.bincount(row, w * score[bucket], minlength=n) / np.where(total > 0, total, 1), fallback)
 
 
-def difficulty(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = 12, tolerance: float = 1e-3) -> DataFrame:
+def difficulty(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = 12, tolerance: float = 1e-3, buckets: int = BUCKETS) -> DataFrame:
     """``(id, difficulty, grade)``: the harmonic score of each prose document and the mean grade of graded ones.
 
     The score of a graded document is what its words say, not its clamped grade. Without a
@@ -110,36 +110,36 @@ def difficulty(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """
     given = labels.where(F.col("reading_level").isNotNull()).select(F.col("doc_id").alias("id"), "reading_level", "rater").distinct()
     given = given.groupBy("id").agg(F.avg("reading_level").alias("grade"))
-    bag = bags(docs, id_col, text_col, lang_col).groupBy("id").agg(F.max("words").alias("words"))
+    bag = bags(docs, id_col, text_col, lang_col, buckets).groupBy("id").agg(F.max("words").alias("words"))
     graph = materialize(bag.join(given, "id", "left"), "rl-graph")
     middle = graph.agg(F.avg("grade").alias("m")).first().m
     if middle is None:
         return graph.select("id", F.lit(None).cast("double").alias("difficulty"), "grade")
 
     def degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs_of = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        total, docs_of = np.zeros(buckets), np.zeros(buckets)
         for b in batches:
             _, bucket, weight = _edges(b.column("words"))
-            total += np.bincount(bucket, weight, minlength=BUCKETS)
-            docs_of += np.bincount(bucket, minlength=BUCKETS)
+            total += np.bincount(bucket, weight, minlength=buckets)
+            docs_of += np.bincount(bucket, minlength=buckets)
         at = np.flatnonzero(docs_of)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(docs_of[at])], ["b", "w", "n"])
 
     got = graph.select("words").mapInArrow(degrees, "b int, w double, n double").groupBy("b").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas()
-    degree, use = np.zeros(BUCKETS), np.zeros(BUCKETS, np.float32)
+    degree, use = np.zeros(buckets), np.zeros(buckets, np.float32)
     at = got["b"].to_numpy()
     degree[at], use[at] = got["w"].to_numpy(), got["n"].to_numpy() >= MIN_DOCUMENTS
-    score = np.full(BUCKETS, middle, np.float32)
+    score = np.full(buckets, middle, np.float32)
     for r in range(rounds):
 
         def spread(batches: Iterator[pa.RecordBatch], score: np.ndarray = score, first: bool = r == 0) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(BUCKETS)
+            total = np.zeros(buckets)
             for b in batches:
                 row, bucket, weight = _edges(b.column("words"))
                 grade = b.column("grade").to_numpy(zero_copy_only=False).astype(np.float64)
                 mean = np.full(b.num_rows, middle) if first else _means(row, bucket, weight, score, use, b.num_rows, middle)
                 value = np.where(np.isnan(grade), mean, grade)
-                total += np.bincount(bucket, weight * value[row], minlength=BUCKETS)
+                total += np.bincount(bucket, weight * value[row], minlength=buckets)
             at = np.flatnonzero((total != 0) & (use > 0))
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "s"])
 
@@ -178,7 +178,7 @@ def cut_points(rated: DataFrame) -> list[float]:
     return [float(x) for x in np.maximum.accumulate(cuts)]
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def reading_levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS) -> DataFrame:
     """``(doc_id, reading_level, difficulty)`` of every document of English prose, levels 1 to 5.
 
     English are documents whose language is null or ``en`` in any letter case. Null, blank and
@@ -187,7 +187,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     repeated rows of an id one counts. Without any grade the levels are null; an empty table
     gives an empty result.
     """
-    rated = materialize(difficulty(docs, labels, id_col, text_col, lang_col), "rl-rated")
+    rated = materialize(difficulty(docs, labels, id_col, text_col, lang_col, buckets=buckets), "rl-rated")
     cuts = cut_points(rated)
     level = F.lit(1)
     for c in cuts:
