@@ -30,7 +30,7 @@ from gleaner.runtime import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Limits of a container: tokens, segments and loss-bearing tokens.
-CAPACITY, MAX_SEGMENTS, MAX_LOSS = 2048, 16, 1984
+CAPACITY, MAX_SEGMENTS, MAX_LOSS = 2048, 16, 2016
 #: Splits text into words, numbers, signs and white space before byte pairs are merged (fixed value of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _TURN = re.compile(r"(?m)^(user|assistant|system):")

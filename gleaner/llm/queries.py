@@ -92,7 +92,7 @@ def p5_reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in containers of at most 2,048 tokens, 16 segments and 1,984 loss-bearing tokens."""
+    """All documents in containers of at most 2,048 tokens, 16 segments and 2,016 loss-bearing tokens."""
     return packing.fill_containers(table(spark, sf_dir, "documents"))
 
 
