@@ -14,15 +14,18 @@ CODE_LANGUAGES = {
     "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "shell", "bash": "shell", "zsh": "shell",
 }
 # Extensions read as text.
-TEXT_EXTENSIONS = (
-    "txt md markdown rs py java js ts tsx jsx go c cpp cc h hpp json xml html htm css scss sass toml yaml yml sh bash zsh fish sql rb php "
-    "swift kt kts scala clj ex exs erl hs ml mli fs fsx lua vim el lisp scm rkt asm s dockerfile makefile cmake gradle sbt cabal nix tf hcl"
-).split()
+TEXT_EXTENSIONS = [
+    "txt", "md", "markdown", "rs", "py", "java", "js", "ts", "tsx", "jsx", "go", "c", "cpp", "cc", "h", "hpp", "json", "xml",
+    "html", "htm", "css", "scss", "sass", "toml", "yaml", "yml", "sh", "bash", "zsh", "fish", "sql", "rb", "php", "swift", "kt", "kts",
+    "scala", "clj", "ex", "exs", "erl", "hs", "ml", "mli", "fs", "fsx", "lua", "vim", "el", "lisp", "scm", "rkt", "asm", "s",
+    "dockerfile", "makefile", "cmake", "gradle", "sbt", "cabal", "nix", "tf", "hcl",
+]
 # MIME types read as text.
-TEXT_MIMES = (
-    "text/plain text/markdown text/x-markdown application/x-sh text/x-rust text/x-python text/x-java text/javascript text/typescript text/x-go "
-    "text/x-c text/x-c++ application/json application/xml text/xml text/html text/css application/toml text/x-toml application/yaml text/x-yaml"
-).split()
+TEXT_MIMES = [
+    "text/plain", "text/markdown", "text/x-markdown", "application/x-sh", "text/x-rust", "text/x-python", "text/x-java",
+    "text/javascript", "text/typescript", "text/x-go", "text/x-c", "text/x-c++", "application/json", "application/xml",
+    "text/xml", "text/html", "text/css", "application/toml", "text/x-toml", "application/yaml", "text/x-yaml",
+]
 IMAGE_MIMES = ["image/png", "image/jpeg", "image/gif", "image/bmp", "image/webp"]
 # MIME type by extension; anything else is text/plain.
 MIME_BY_EXTENSION = {

@@ -288,6 +288,7 @@ SYMBOLS: dict[str, list[tuple[str, re.Pattern]]] = {
         ("class", re.compile(r"(?:.* )?class (?P<name>[^\s{(<:]+)")),
         ("struct", re.compile(r"(?:.* )?struct (?P<name>[^\s{(<:]+)")),
         ("enum", re.compile(r"(?:.* )?enum (?P<name>[^\s{(<:]+)")),
+        # fixed values: the control words that open no function
         ("function", re.compile(r"[^(]*?(?<![\w*&])[*&]*(?!(?i:if|while|for|switch|return|sizeof|typeof)\s*\()(?P<name>\w+)\s*\(")),
     ],
 }

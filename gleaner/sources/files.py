@@ -7,6 +7,7 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,8 +94,15 @@ def image_header(data: bytes) -> tuple[str, int, int] | None:
     if data[:2] == b"BM" and len(data) >= 26:
         w, h = struct.unpack("<ii", data[18:26])
         return "bmp", w, abs(h)
-    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and data[12:16] == b"VP8X" and len(data) >= 30:
-        return "webp", 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        if data[12:16] == b"VP8X":
+            return "webp", 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+        if data[12:16] == b"VP8 ":
+            w, h = struct.unpack("<HH", data[26:30])
+            return "webp", w & 0x3FFF, h & 0x3FFF
+        if data[12:16] == b"VP8L":
+            bits = int.from_bytes(data[21:25], "little")
+            return "webp", 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
     if data[:2] == b"\xff\xd8":
         at = 2
         while at + 9 < len(data) and data[at] == 0xFF:
@@ -131,30 +139,38 @@ def extract_images(df: DataFrame, captioner: Callable[[bytes], str | None] | Non
     return _shape(rows.withColumn("elements", F.when(F.col("text").isNotNull(), F.array(_element(kind=F.lit("paragraph"), text=F.col("text"), byte_offset=F.lit(0))))))
 
 
-def extract_pdf(df: DataFrame, reader: Callable[[bytes], list[str]] | None = None, max_bytes: int = 50 << 20) -> DataFrame:
-    """``(path, content)`` through a reader that returns the text of each page; without one, error rows.
+def extract_pdf(df: DataFrame, reader: Callable[[bytes], list[str]] | None = None, max_bytes: int = 50 << 20, image_reader: Callable[[bytes], list[tuple[bytes, str, int]]] | None = None) -> DataFrame:
+    """``(path, content)`` as the text of all pages and the images; what cannot be read gives error rows.
 
+    ``reader`` returns the text of each page and ``image_reader`` ``(data, MIME type, page)`` of each image; without
+    them the built-in ones do, and given only a reader there are no images.
     Pages are joined by a blank line; short capitalised paragraphs become headings.
     """
     from gleaner.functions.text import is_title_line, page_estimate
+    from gleaner.sources import pdf as built_in
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+    texts = reader or built_in.page_texts
+    pictures = image_reader or (built_in.images if reader is None else lambda _: [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                if reader is None:
-                    rows.append((path, None, None, "no PDF reader"))
-                elif len(data or b"") > max_bytes:
-                    rows.append((path, None, None, "too large"))
-                else:
-                    try:
-                        pages = reader(bytes(data or b""))
-                        rows.append((path, "\n\n".join(pages), len(pages), None))
-                    except Exception as e:  # a reader's failure is the file's, not the job's
-                        rows.append((path, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "text", "pages", "error_message"])
-
-    rows = df.select("path", "content").mapInPandas(run, "path string, text string, pages int, error_message string")
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                if len(data or b"") > max_bytes:
+                    rows.append((path, None, None, None, "too large"))
+                    continue
+                try:
+                    pages = texts(bytes(data or b""))
+                    found = [dict(data=d, mime_type=m, caption=None, page=p) for d, m, p in pictures(bytes(data or b""))]
+                    rows.append((path, "\n\n".join(pages), len(pages), found, None))
+                except Exception as e:  # a reader's failure is the file's, not the job's
+                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+            image = pa.list_(pa.struct([("data", pa.binary()), ("mime_type", pa.string()), ("caption", pa.string()), ("page", pa.int32())]))
+            kinds = [pa.string(), pa.string(), pa.int32(), image, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["path", "text", "pages", "images", "error_message"])
+
+    layout = "path string, text string, pages int, images array<struct<data:binary,mime_type:string,caption:string,page:int>>, error_message string"
+    rows = df.select("path", "content").mapInArrow(run, layout)
     build = lambda p: _element(kind=F.when(is_title_line(p["text"]), "heading").otherwise("paragraph"), level=F.when(is_title_line(p["text"]), 2), text=F.trim(p["text"]), byte_offset=p["byte_offset"])
     rows = rows.withColumn("elements", F.transform(paragraphs(F.col("text")), build))
     return _shape(rows.withColumn("page_count", F.coalesce("pages", page_estimate(F.col("text")))))
