@@ -197,12 +197,16 @@ def with_ratios(files: DataFrame) -> DataFrame:
     return files.withColumns(ratios)
 
 
-def find_foreign_files(chunks: DataFrame, files: DataFrame, max_train: int = 20_000, trees: int = 24, depth: int = 7, min_vote: float = 0.6, seed: int = 17) -> DataFrame:
+def held_out(part: int) -> Column:
+    return F.pmod(F.xxhash64("path", F.lit(part)), F.lit(part)) == 0
+
+
+def find_foreign_files(chunks: DataFrame, files: DataFrame, max_train: int = 20_000, trees: int = 24, depth: int = 7, min_vote: float = 0.5, seed: int = 17, hold: int | None = None) -> DataFrame:
     """``(path, reason, notice, probability, found)`` of every file that holds source code.
 
     ``reason`` is the label for training (generated, vendored, minified, data) or null, ``notice`` whether a notice gave it,
     ``probability`` the forest's vote, ``found`` whether the vote is at least ``min_vote`` or the file carries a notice. ``max_train``
-    bounds the rows that each forest is fitted on. With fewer than ten labelled or unlabelled
+    bounds the rows that each forest is fitted on; one file in ``hold`` is kept out of training. With fewer than ten labelled or unlabelled
     files there is no forest and the labels decide; no code gives an empty result.
     """
     mime = files.where(F.col("path").isNotNull()).groupBy("path").agg(F.max_by("mime_type", F.struct(F.coalesce("indexed_at", F.lit("1970-01-01").cast("timestamp")), "modified_at")).alias("mime"))
@@ -221,6 +225,8 @@ def find_foreign_files(chunks: DataFrame, files: DataFrame, max_train: int = 20_
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(rows)
     share = max(1, -(-n // max_train))
     sample = vectors.where(F.pmod(F.xxhash64("path", F.lit(seed)), F.lit(share)) == 0)
+    if hold is not None:
+        sample = sample.where(~held_out(hold))
 
     def forest(train: DataFrame):
         return RandomForestClassifier(labelCol="labelled", featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=5, featureSubsetStrategy="0.5", seed=seed, maxBins=64).fit(train.select("features", "labelled"))
@@ -233,3 +239,17 @@ def find_foreign_files(chunks: DataFrame, files: DataFrame, max_train: int = 20_
         train = materialize(suspect.where((F.col("labelled") == 1) | (vote <= 1.5 * usual)).select("path", "features", "labelled"), "hw-train")
     out = forest(train).transform(vectors).withColumn("vote", vote)
     return out.select("path", "reason", "notice", F.round("vote", 6).alias("probability"), (F.col("notice") | (F.col("vote") >= min_vote)).alias("found"))
+
+
+def held_out_accuracy(chunks: DataFrame, files: DataFrame, part: int = 4) -> DataFrame:
+    """One row about files kept out of training: how many have a label without a notice and the share of them the vote finds,
+    how many have none and the share found of these, and the mean vote of files whose label only a notice gave.
+    """
+    rows = find_foreign_files(chunks, files, hold=part).where(held_out(part))
+    mark = F.col("reason").isNotNull() & ~F.col("notice")
+    share = lambda which, what: F.round(F.avg(F.when(which, what)), 4)
+    found = F.col("found").cast("double")
+    return rows.agg(
+        F.count_if(mark).alias("marked"), share(mark, found).alias("marked_found"), F.count_if(F.col("reason").isNull()).alias("unmarked"), share(F.col("reason").isNull(), found).alias("unmarked_found"),
+        F.count_if(F.col("notice")).alias("with_notice"), share(F.col("notice"), F.col("probability")).alias("vote_on_notice"),
+    )

@@ -50,6 +50,11 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.find_foreign_files(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "files"))
 
 
+def p3_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote on files that were kept out of training."""
+    return handwritten.held_out_accuracy(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "files"))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.materialize(clusters.group_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "file_path", "embedding"), "files")
 
