@@ -179,6 +179,13 @@ _BM25 = f"""{_TOKENS}, n AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM
     bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM tf JOIN df USING (term), n WHERE tf > 0 GROUP BY doc_id)"""
 
 
+@query(f"WITH {_TOKENS} SELECT count(*) AS documents, sum(dl)::BIGINT AS words FROM d")
+def fulltext_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored full-text index of the documents, built when a session first asks for it, and what it covers."""
+    built = _index(spark, d)
+    return spark.createDataFrame([(built.documents, built.words)], "documents long, words long")
+
+
 @query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm ORDER BY bm.bm25 DESC, doc_id LIMIT 20")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The best of BM25 over the stored index, whose postings of the query's terms are all that is read."""

@@ -27,13 +27,13 @@ def qualified(spark: SparkSession, root: str) -> str:
     return re.sub(r"^file:/*", "/", full).rstrip("/")
 
 
-def scan(spark: SparkSession, root: str, includes: list[str] | None = None, excludes: list[str] | None = None, max_size: int | None = None, content: bool = False, only: str | list[str] | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, includes: list[str] | None = None, excludes: list[str] | None = None, max_size: int | None = None, content: bool = False, only: str | list[str] | None = None, deep: bool = True) -> DataFrame:
     """Regular files below a folder: ``(path, name, size_bytes, modified_at, mime_type[, content])``.
 
     Globs match the path below the root. Unreadable folders are skipped. Without ``content``
-    no file is opened; ``only`` lists files below the root instead of all.
+    no file is opened; ``only`` lists files or folders below the root instead of all, folders without what lies deeper unless ``deep``.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(only or root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", deep).option("ignoreMissingFiles", True).load(only or root)
     path = F.regexp_replace("path", r"^file:/*", "/")
     df = df.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), *(["content"] if content else []))
     base = qualified(spark, root)

@@ -93,7 +93,7 @@ def windowed_counts(feed: DataFrame, ts: str = "seen_at", length: str = "1 hour"
     return stream.groupBy(F.window(ts, length).alias("w"), "kind").agg(F.count("*").alias("events")).select(F.col("w.start").alias("started"), "kind", "events")
 
 
-#: Up to this many changed files are opened by name.
+#: Up to this many changed files, or else folders that hold changed files, are opened by name.
 MAX_LISTED = 2000
 
 
@@ -145,9 +145,13 @@ class Indexer:
             same_stat = same_stat.limit(0)
         to_read = listing.select("path").join(same_stat.select("path"), "path", "left_anti")
         few = [r.path for r in to_read.limit(MAX_LISTED + 1).collect()]
-        # a few changed files are opened by name, many by a scan of the folder
-        source = few if 0 < len(few) <= MAX_LISTED else root
-        hashed = scan(spark, root, self.includes, self.excludes, self.max_size, content=True, only=source).join(to_read, "path", "left_semi") if few else scan(spark, root, content=True).limit(0)
+        # a few changed files are opened by name, more by their folders, and only beyond that the whole tree is read
+        source, deep = few if 0 < len(few) <= MAX_LISTED else root, True
+        if len(few) > MAX_LISTED:
+            folders = [r.f for r in to_read.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().limit(MAX_LISTED + 1).collect()]
+            if len(folders) <= MAX_LISTED:
+                source, deep = folders, False
+        hashed = scan(spark, root, self.includes, self.excludes, self.max_size, content=True, only=source, deep=deep).join(to_read, "path", "left_semi") if few else scan(spark, root, content=True).limit(0)
         hashed = hashed.withColumn("content_hash", content_hash(F.col("content")))
         snapshot = hashed.select("path", "content_hash").unionByName(same_stat.select("path", "content_hash"))
         snapshot = materialize(snapshot, "ix-snapshot")

@@ -110,7 +110,7 @@ def corpus(spark, tmp_path):
     return Corpus(spark, f"file://{tmp_path}/index", settings)
 
 
-def test_sync_follows_a_folder(spark, corpus, tmp_path):
+def test_sync_follows_a_folder(spark, corpus, tmp_path, monkeypatch):
     root = f"{tmp_path}/docs"
     for n, t in (("ml.txt", "Networks learn from data."), ("db.md", "# Tables\n\nRows and columns."), ("src/a.py", "def f():\n    return 1\n"), (".git/x", "no"), ("bad.txt", b"\xff\xfe\x00"), ("p.pdf", b"%PDF"), ("i.png", b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR\x00\x00\x00\x02\x00\x00\x00\x03")):
         write(root, n, t)
@@ -131,6 +131,19 @@ def test_sync_follows_a_folder(spark, corpus, tmp_path):
     n = corpus.chunks.count()
     corpus.index(root, force=True)
     assert corpus.chunks.count() == n
+    monkeypatch.setattr(I, "MAX_LISTED", 2)  # by folder
+    write(root, "ml.txt", "Now something else.")
+    write(root, "src/deep/er.txt", "Deep.")
+    os.remove(f"{root}/i.png")
+    changes = corpus.index(root)
+    got = {x[:2] for x in kinds(changes)}
+    assert {("modified", "ml.txt"), ("created", "src/deep/er.txt"), ("deleted", "i.png")} <= got
+    assert {r.content for r in corpus.chunks.collect()} >= {"Now something else.", "Deep."}
+    feed = {(r.event, r.path[len(root) + 1 :]) for r in corpus.indexer().updates(root, changes).collect()}
+    assert feed >= {("started", ""), ("indexed", "ml.txt"), ("indexed", "src/deep/er.txt"), ("removed", "i.png"), ("error", "bad.txt")}
+    monkeypatch.setattr(I, "MAX_LISTED", 1)  # the whole tree
+    write(root, "src/b.py", "def g():\n    return 2\n")
+    assert ("modified", "src/b.py") in {x[:2] for x in kinds(corpus.index(root))}
 
 
 def test_watch_once(spark, corpus, tmp_path):
