@@ -390,11 +390,13 @@ def similar_vectors(
     counts = total.groupBy("cell").count().toPandas()
     own = Own.of(total, candidates, len(index.left) * len(index.right))
     # of several ways to pack the cells the one in which the sample visits the fewest blocks, and as many tasks a block as its visitors need
-    tried, asked, best = fitted[:2048], groups[:2048], None
+    tried, best = fitted[:2048], None
+    index.pack(counts["cell"].to_numpy(), counts["count"].to_numpy(), block, seed)
+    index.block = np.arange(len(index.population), dtype=np.int32)  # the cells that the sample visits do not depend on the packing
+    seen = [np.fromiter(s, np.int64, len(s)) for s in own.visited(index, tried, groups[:2048], candidates)]
     for attempt in range(8):
         index.pack(counts["cell"].to_numpy(), counts["count"].to_numpy(), block, seed + attempt)
-        seen = own.visited(index, tried, asked, candidates)
-        visits = np.bincount([b for s in seen for b in s], minlength=len(index.splits))
+        visits = np.bincount(np.concatenate([np.unique(index.block[s]) for s in seen]), minlength=len(index.splits))
         cost = float((visits * index.splits).sum())
         if best is None or cost < best[0]:
             best = cost, attempt, visits
