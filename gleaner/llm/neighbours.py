@@ -401,7 +401,8 @@ def similar_vectors(
         if best is None or cost < best[0]:
             best = cost, attempt, visits
     index.pack(counts["cell"].to_numpy(), counts["count"].to_numpy(), block, seed + best[1])
-    index.share(np.ceil(best[2] / len(tried) * counts["count"].sum() / (4 * block)))
+    cores = spark.sparkContext.defaultParallelism  # a small collection has few blocks: then share their queries out over the cores
+    index.share(np.maximum(np.ceil(best[2] / len(tried) * counts["count"].sum() / (4 * block)), -(-cores // int(index.splits.sum()))))
     units = rows.groupBy("vid").agg(F.first("v").alias("v")).join(classes, "vid")
     routed = units.select("vid", "sole", "ask", "v").mapInArrow(_route(index, own, candidates, dim), "task int, kind byte, vid long, fh long, v binary")
     routed = routed.repartitionById(index.tasks, F.col("task")).sortWithinPartitions("task", "kind")
